@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +114,46 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def on_workers(module: str, function: str, **params):
+    """A function for mapInArrow that imports `function` on the worker, where what the module keeps is shared by its tasks."""
+    root = str(Path(__file__).resolve().parents[2])
+
+    def run(batches):
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.append(root)
+        yield from getattr(importlib.import_module(module), function)(batches, **params)
+
+    return run
+
+
+def stars(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows (named left) and columns (named right) that hit marks: each member of a
+    connected group with the group's smallest name. Every row and column is visited once."""
+    rows = np.flatnonzero(hit.any(axis=1))
+    todo = np.zeros(len(left), bool)
+    todo[rows] = True
+    ends: list[np.ndarray] = []
+    tops: list[np.ndarray] = []
+    for r in rows:
+        if not todo[r]:
+            continue
+        front, members, seen = np.array([r]), [], np.zeros(len(right), bool)
+        while len(front):
+            todo[front] = False
+            members.append(front)
+            new = hit[front].any(axis=0) & ~seen
+            seen |= new
+            front = np.flatnonzero(hit[:, new].any(axis=1) & todo)
+        names = np.concatenate([left[np.concatenate(members)], right[seen]])
+        top = names.min()
+        names = np.unique(names[names != top])
+        ends.append(names)
+        tops.append(np.full(len(names), top))
+    if not ends:
+        return left[:0], left[:0]
+    return np.concatenate(ends), np.concatenate(tops)

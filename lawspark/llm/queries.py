@@ -1,10 +1,16 @@
 """The queries of this subpackage and their DuckDB counterparts."""
 
-from . import quality, sharding, urls
+from . import licences, mixing, packing, quality, sharding, simhash, tokens, urls, vectors
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_mixing": mixing.op3_mixing,
     "op4_ring_shards": sharding.op4_ring_shards,
+    "op5_licences": licences.op5_licences,
+    "op6_packing": packing.op6_packing,
     "op7_url_templates": urls.op7_url_templates,
+    "op9_near_vectors": vectors.op9_near_vectors,
     "op10_quality": quality.op10_quality,
 }
 

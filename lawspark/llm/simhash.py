@@ -63,9 +63,10 @@ def compared(batches, radius: int):
         ends, tops = [], []
         for k in range(batch.num_rows):
             a, b = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (0, 1))
+            x, y = a.view(np.uint64), b.view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
             hit = np.empty((len(a), len(b)), bool)
             for at in range(0, len(a), 256):
-                hit[at : at + 256] = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius
+                hit[at : at + 256] = np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= radius
             if batch.column(2)[k].as_py():
                 np.fill_diagonal(hit, False)
             if hit.any():

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB counterparts."""
 
-from . import licences, mixing, packing, quality, sharding, simhash, tokens, urls, vectors
+from . import licences, mixing, packing, quality, quotes, sharding, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_licences": licences.op5_licences,
     "op6_packing": packing.op6_packing,
     "op7_url_templates": urls.op7_url_templates,
+    "op8_quotations": quotes.op8_quotations,
     "op9_near_vectors": vectors.op9_near_vectors,
     "op10_quality": quality.op10_quality,
 }

@@ -87,6 +87,7 @@ def template_tree(counts: DataFrame) -> DataFrame:
         tree = tree.join(step, ["host", "template", "seg"]).withColumn(
             "template", F.when(F.col("to") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))
         ).drop("seg", "to")
+        tree = common.saved(tree, "level")  # else each level's plan would hold the one before several times
     ends = tree.groupBy("host", "template").agg(F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
     return tree.join(ends, ["host", "template"]).select("host", "shape", "template", "t_good", "t_bad")
 

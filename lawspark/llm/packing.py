@@ -172,7 +172,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     base = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("length", "_bucket", base.alias("_base"))
     ranked = pieces.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(base), ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    ranked = ranked.join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     place = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return (
         ranked.join(F.broadcast(slots), place)

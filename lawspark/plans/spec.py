@@ -97,6 +97,10 @@ class Spec:
     link_marker_direction: str = "egress"
     notes: str = ""
 
+    @staticmethod
+    def cell_codec_default() -> Codec:
+        return Codec()
+
     def to_json(self) -> dict:
         """The spec as plain JSON values, readable by induce.contract.read_spec and by Spec.from_json."""
 

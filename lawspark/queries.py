@@ -235,7 +235,7 @@ def points_network(spark, sf_dir):
 
 
 TERMS: dict[str, Term] = {
-    "scaled": Times(0.5, Col("measurement_source")),
+    "scaled": Times(2.0, Col("measurement_source")),
     "added": Sum((Col("measurement_source"), Fold("SUM", "demand_col"))),
     "mixed": Sum((Times(-1.0, Col("measurement_destination")), Times(2.0, Fold("SUM", "demand_row")), Num(3.0))),
 }

@@ -125,35 +125,41 @@ def slotted(batches, seed: int):
             yield pa.RecordBatch.from_arrays([full(r["sid"]), full(r["shard"]), pa.array(epochs.astype(np.int32)), pa.array(block)], ["sid", "shard", "epoch", "block"])
 
 
-def positions(docs: DataFrame, text: str, source: str) -> tuple[DataFrame, list[tuple[str | None, int]]]:
-    """docs plus _rid, _size, _sid and _at (words before it in its source), saved; and the sources with their sizes."""
+def positions(docs: DataFrame, text: str, source: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str | None, int]]]:
+    """One narrow row a document, saved: _rid, the hashes _h and _h2 of the whole row, _size, _sid and _at (words before it in
+    its source), and the columns to keep; no text. And the sources with their sizes."""
     spark = docs.sparkSession
-    rows = docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-            "_hash": F.xxhash64(*sorted(docs.columns)),
-        }
-    )
-    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
-    sums = common.saved(rows.groupBy(F.col(source).alias("_source"), "_bucket").agg(F.sum("_size").alias("n")), "sums")  # BUCKETS rows a source
-    found = [(r[0], r[1]) for r in sums.groupBy("_source").agg(F.sum("n")).collect()]
+    rows = docs.select(
+        *keep,
+        F.col(source).cast("string").alias("_name"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        *hashes(docs),
+    ).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
+    rows = common.saved(rows, "sizes")
+    sums = rows.groupBy("_name", "_bucket").agg(F.sum("_size").alias("n"))
+    sums = common.saved(sums, "sums")  # BUCKETS rows a source
+    found = [(r[0], r[1]) for r in sums.groupBy("_name").agg(F.sum("n")).collect()]
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sids = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(found)], "_source string, _sid int")
-    before = F.coalesce(F.sum("n").over(W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(F.col("_source").alias("_name"), "_bucket", before.alias("_base"))
-    base = base.join(F.broadcast(sids), F.col("_name").eqNullSafe(F.col("_source"))).select("_sid", "_bucket", "_base")
-    own = F.coalesce(F.sum("_size").over(W.partitionBy("_sid", "_bucket").orderBy("_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = F.broadcast(sids), F.col("_name").eqNullSafe(F.col("_source"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("_name").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = sums.withColumn("_base", before).join(*numbered).select("_sid", "_bucket", "_base")
+    own = F.coalesce(F.sum("_size").over(W.partitionBy("_sid", "_bucket").orderBy("_h", "_h2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = (
-        rows.join(F.broadcast(sids), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+        rows.join(*numbered)
         .withColumn("_at", own)
-        .join(base, ["_sid", "_bucket"])
-        .withColumn("_at", F.col("_at") + F.col("_base"))
-        .withColumn("_rid", F.monotonically_increasing_id())
-        .drop("_bucket", "_hash", "_base")
+        .join(base.hint("merge"), ["_sid", "_bucket"])
+        .select(*keep, "_h", "_h2", "_size", "_sid", (F.col("_at") + F.col("_base")).alias("_at"), F.monotonically_increasing_id().alias("_rid"))
     )
     return common.saved(rows, "placed"), found
 
 
+def hashes(docs: DataFrame) -> list:
+    """96 bits that tell rows apart."""
+    names = [f"`{c}`" for c in sorted(docs.columns)]
+    return [F.xxhash64(*names).alias("_h"), F.hash(*names).alias("_h2")]
+
+
 def mixed(placed: DataFrame, sources: list[tuple[str | None, int]], block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, list[float]]:
     """placed: from positions(). Returns the mix, one row for each document in a slot's block (_rid, shard, epoch, block, first,
     last: words of the document), and the sources' targets."""
@@ -180,7 +186,8 @@ def mixed(placed: DataFrame, sources: list[tuple[str | None, int]], block: int =
             F.least(size, (F.col("block") + 1) * block - at).alias("last"),
         )
     )
-    return slots.join(parts, ["sid", "block"]).select("_rid", "shard", "epoch", "block", "first", "last"), goal
+    # the plan's few rows become many slots: a merge join, which no size estimate turns into a broadcast
+    return slots.hint("merge").join(parts, ["sid", "block"]).select("_rid", "shard", "epoch", "block", "first", "last"), goal
 
 
 def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -189,7 +196,7 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     A null text has size 0 and is never taken; a null source is a source, the last. Repeated rows are documents like any
     other. An empty table gives no rows. Other columns are ignored.
     """
-    placed, sources = positions(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).cast("string").alias("s")), "t", "s")
+    placed, sources = positions(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")), "t", "s", ("k",))
     rows, goal = mixed(placed, sources)
     of = docs.sparkSession.createDataFrame([(k, n, t) for k, ((_, n), t) in enumerate(zip(sources, goal))], "_sid int, source_size long, target double")
     taken = rows.groupBy("_rid").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
@@ -221,22 +228,22 @@ def cut(batches, names: list[str], text: str):
             yield pa.RecordBatch.from_arrays([c.slice(s, 512) for c in cols], names)
 
 
-def mix_documents(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
     """The mix as documents, with the columns of docs (n_chars follows the text): a document that a round takes as a whole comes
     back whole, else in runs of neighbouring blocks. Documents without words don't come back. Otherwise as mix_report."""
     names = docs.columns
     placed, sources = positions(docs, text, source)
-    rows, _ = mixed(placed, sources)
+    rows, _ = mixed(placed, sources, block)
     order = W.partitionBy("_rid", "epoch").orderBy("block")
     runs = (
         rows.withColumn("_run", F.col("block") - F.row_number().over(order))
         .groupBy("_rid", "epoch", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("epoch", "first", "last"))).alias("_runs"))
-    )  # at most MOST_TIMES times a document's blocks
+        .join(placed.select("_rid", "_h", "_h2", "_size"), "_rid")
+        .groupBy("_h", "_h2").agg(F.max("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("epoch", "first", "last"))).alias("_runs"))
+    )  # at most MOST_TIMES times a document's blocks; rows equal in all columns share theirs, and are met once
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return placed.join(runs, "_rid").select(*(f"`{n}`" for n in names), "_size", "_runs").mapInArrow(
-        common.on_workers(__name__, "cut", names=names, text=text), schema
-    )
+    whole = docs.select(*(f"`{n}`" for n in names), *hashes(docs)).join(runs, ["_h", "_h2"]).dropDuplicates(["_h", "_h2"])
+    return whole.select(*(f"`{n}`" for n in names), "_size", "_runs").mapInArrow(common.on_workers(__name__, "cut", names=names, text=text), schema)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

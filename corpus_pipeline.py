@@ -22,8 +22,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in their target shares: documents taken several times, once, in part or not at all."""
-    return mixing.mix_documents(docs)
+    """The sources in their target shares: documents taken several times, once, in part or not at all. Blocks of 256 words, so that
+    parts of documents keep some context; a source misses its target by half a block at most."""
+    return mixing.mix_documents(docs, block=256)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

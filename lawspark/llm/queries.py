@@ -16,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_url_templates": urls.OP7_SQL,
     "op10_quality": quality.OP10_SQL,
 }

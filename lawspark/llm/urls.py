@@ -129,3 +129,39 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     )
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
+def _level(d: int) -> str:
+    """Level d of the tree in SQL: children, nodes, what children become, and the pages' next templates."""
+    return f"""
+c{d} AS (SELECT host, t, s{d} AS seg, count(*) AS p, count(*) FILTER (NOT bad) AS g, count(*) FILTER (bad) AS b FROM l{d} GROUP BY ALL),
+n{d} AS (SELECT host, t, count(*) AS kids, sum(p) AS np, sum(g) AS ng, sum(b) AS nb FROM c{d} WHERE seg <> '' GROUP BY ALL),
+x{d} AS (
+  SELECT c.host, c.t, c.seg, CASE WHEN seg = '' THEN '' WHEN seg = '*' OR (kids >= {FAN_OUT} AND np < kids * {RARE}) OR (kids > 1 AND (
+    g + b = 0 OR ng + nb - g - b = 0 OR CAST(pow(b * (ng + nb - g - b) - (nb - b) * (g + b), 2) * (ng + nb) AS DOUBLE)
+      <= CAST({Z2} * nb * ng * (g + b) * (ng + nb - g - b) AS DOUBLE))) THEN '*' ELSE seg END AS next
+  FROM c{d} c LEFT JOIN n{d} n ON c.host = n.host AND c.t = n.t),
+l{d + 1} AS (SELECT l.* REPLACE (CASE WHEN next = '' THEN l.t ELSE l.t || '/' || next END AS t) FROM l{d} l JOIN x{d} x ON l.host = x.host AND l.t = x.t AND l.s{d} = x.seg)"""
+
+
+def _rules_sql(what: int) -> str:
+    cases = " ".join(
+        f"WHEN (l.host = '{h}' OR ends_with(l.host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[what]}'"
+        for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    )
+    return f"CASE {cases} END"
+
+
+OP7_SQL = rf"""
+WITH m AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
+u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{common.UPPER}', '{common.LOWER}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+w AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END) AS segs FROM u),
+l0 AS (SELECT w.page_id, host, path, bad, '' AS t, {", ".join(f"coalesce(segs[{d + 1}], '') AS s{d}" for d in range(DEPTH))} FROM w LEFT JOIN m ON w.page_id = m.page_id),
+{",".join(map(_level, range(DEPTH)))},
+e AS (SELECT host, t, count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad FROM l{DEPTH} GROUP BY ALL)
+SELECT page_id, l.host, path, {_rules_sql(0)} AS rule,
+  coalesce({_rules_sql(1)}, CASE WHEN e.bad * 100 + {PRIOR_PAGES * PRIOR_PERCENT} > (good + e.bad + {PRIOR_PAGES}) * {MAX_BAD_PERCENT} THEN 'block' ELSE 'allow' END) AS verdict,
+  l.t AS template
+FROM l{DEPTH} l JOIN e ON l.host = e.host AND l.t = e.t"""

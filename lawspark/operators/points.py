@@ -8,12 +8,14 @@ wide that the array's expression gets too large.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import folded
+from ..plans.names import Names
 from ..plans.rules import Col, Term
 from ..sources.frames import TIME, Dataset
 
@@ -44,34 +46,40 @@ def wide_points(ds: Dataset, binder: str, leaves: Sequence[Term]) -> DataFrame:
     return ds.frame.select(TIME, F.inline(F.array(*rows)))
 
 
-def leaf_map(ds: Dataset, binder: str, leaves: Sequence[Term]) -> list[tuple[int, int, str]]:
+def leaf_map(names: Names, binder: str, leaves: Sequence[Term]) -> list[tuple[int, int, str]]:
     """(binding, leaf, column) of every column that a leaf reads."""
-    return [
-        (k, j, ds.short[c])
-        for k, b in enumerate(ds.names.bindings(binder))
-        for j, x in enumerate(leaves)
-        for c in ds.names.leaf(binder, x, b)
-    ]
+    return [(k, j, c) for k, b in enumerate(names.bindings(binder)) for j, x in enumerate(leaves) for c in names.leaf(binder, x, b)]
 
 
-def long_points(ds: Dataset, binder: str, leaves: Sequence[Term]) -> DataFrame:
-    """The same points by unpivoting. Null cells poison their leaf: it needs as many values as its columns."""
-    spark = ds.frame.sparkSession
-    links = leaf_map(ds, binder, leaves)
-    if not links:
-        return wide_points(ds, binder, leaves)
-    cells = ds.frame.unpivot([TIME], sorted({c for *_, c in links}), "column", "value")
+def points_of_cells(cells: DataFrame, names: Names, binder: str, leaves: Sequence[Term], fill: float | None = None) -> DataFrame:
+    """Points from a table in long form, (t, column, value). A leaf needs a value of each of its columns; without that it is null,
+    or, with fill, what its columns give when absent values are fill. Points without any value come up only with fill."""
+    spark = cells.sparkSession
+    links = leaf_map(names, binder, leaves)
     wanted = spark.createDataFrame(links, f"{BINDING} int, leaf int, column string")
-    sizes = {}
-    for k, j, _ in links:
-        sizes[(k, j)] = sizes.get((k, j), 0) + 1
-    counts = spark.createDataFrame([(k, j, n) for (k, j), n in sizes.items()], f"{BINDING} int, leaf int, size int")
-    joined = cells.join(F.broadcast(wanted), "column").groupBy(TIME, BINDING, "leaf").agg(
+    sizes = Counter((k, j) for k, j, _ in links)
+    counts = spark.createDataFrame([(*kj, n) for kj, n in sizes.items()], f"{BINDING} int, leaf int, size int")
+    if fill is not None:
+        # every snapshot with every leaf's columns: metadata times snapshots
+        grid = cells.select(TIME).distinct().join(F.broadcast(wanted))
+        found = grid.join(cells, [TIME, "column"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+    else:
+        found = cells.join(F.broadcast(wanted), "column")
+    sums = found.groupBy(TIME, BINDING, "leaf").agg(
         F.sum("value").alias("SUM"), F.min("value").alias("MIN"), F.max("value").alias("MAX"), F.avg("value").alias("AVG"), F.count("value").alias("n")
     )
-    joined = joined.join(F.broadcast(counts), [BINDING, "leaf"]).where("n = size")
+    sums = sums.join(F.broadcast(counts), [BINDING, "leaf"]).where("n = size")
     picks = []
     for j, x in enumerate(leaves):
         kind = "SUM" if isinstance(x, Col) else x.kind
         picks.append(F.max(F.when(F.col("leaf") == j, F.col(kind))).alias(f"leaf_{j}"))
-    return joined.groupBy(TIME, BINDING).agg(*picks)
+    return sums.groupBy(TIME, BINDING).agg(*picks)
+
+
+def long_points(ds: Dataset, binder: str, leaves: Sequence[Term]) -> DataFrame:
+    """The same points by unpivoting the columns that the leaves read."""
+    read = {c for *_, c in leaf_map(ds.names, binder, leaves)}
+    if not read:
+        return wide_points(ds, binder, leaves)
+    renamed = ds.frame.select(TIME, *(ds.column(c).alias(c) for c in sorted(read)))
+    return points_of_cells(renamed.unpivot([TIME], [F.col(f"`{c}`") for c in sorted(read)], "column", "value"), ds.names, binder, leaves)

@@ -18,8 +18,8 @@ from .functions import measures
 from .functions.terms import folded
 from .functions.terms import term as term_column
 from .operators import band, profile
-from .operators.holds import FLOOR, Judge, Verdict, verdict_frame
-from .operators.points import leaf_names, long_points, wide_points
+from .operators.holds import FLOOR, Judge, Pair, Verdict, pair_statistics, verdict_frame
+from .operators.points import leaf_names, long_points, points_of_cells, wide_points
 from .plans.discover import discover_dataframe
 from .plans.grammar import enumerate_rules, grammar_of
 from .plans.names import Names
@@ -357,14 +357,11 @@ SELECT count(*) AS n, count(*) FILTER ((l > e) = (r > e)) AS k, count(*) FILTER
 def hold_presence(spark, sf_dir):
     """CMP6, AGG5: whether trade between nations goes both ways or not at all; absent cells are filled with zero."""
     tokens = flows.places(spark, sf_dir, "nation")
-    spec = flows.flow_spec(tokens)
-    data = dataset(flows.snapshots(spark, sf_dir, "nation", fill=0.0), compile_spec(spec), "nations", "t")
-    from .operators.holds import pair_statistics, Pair
-
-    rule = Rule("link", Col("demand"), "<|>", Col("demand_rev"))
-    pair, _ = Pair.of(rule)
-    leaves = [Col("demand"), Col("demand_rev")]
-    stats = pair_statistics(wide_points(data, "link", leaves), [pair], leaf_names(leaves), CFG)[0]
+    names = Names.of(compile_spec(flows.flow_spec(tokens)), flows.Flow(tuple(tokens)).columns())
+    cells = flows.flow_cells(spark, sf_dir, "nation").select("t", F.concat_ws("_", F.lit("flow"), "s", "d").alias("column"), F.col("v").alias("value"))
+    leaves: list[Term] = [Col("demand"), Col("demand_rev")]
+    points = points_of_cells(cells, names, "link", leaves, fill=0.0)
+    stats = pair_statistics(points, [Pair(*leaves)], leaf_names(leaves), CFG)[0]
     return spark.createDataFrame([(stats["n"], stats["together"], stats["pa"])], "n long, k long, left_present long")
 
 

@@ -242,8 +242,9 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", b
         .groupBy("_h", "_h2").agg(F.max("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("epoch", "first", "last"))).alias("_runs"))
     )  # at most MOST_TIMES times a document's blocks; rows equal in all columns share theirs, and are met once
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    whole = docs.select(*(f"`{n}`" for n in names), *hashes(docs)).join(runs, ["_h", "_h2"]).dropDuplicates(["_h", "_h2"])
-    return whole.select(*(f"`{n}`" for n in names), "_size", "_runs").mapInArrow(common.on_workers(__name__, "cut", names=names, text=text), schema)
+    own = common.fresh(names, "_h", "_h2", "_size", "_runs")
+    whole = docs.select(*(f"`{n}`" for n in names), *(c.alias(n) for c, n in zip(hashes(docs), own))).join(runs.toDF(*own), own[:2]).dropDuplicates(own[:2])
+    return whole.select(*(f"`{n}`" for n in names), *own[2:]).mapInArrow(common.on_workers(__name__, "cut", names=names, text=text), schema)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,12 +83,8 @@ def line_passes(line: Column) -> Column:
     )
 
 
-def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, kept_words (words of lines that
-    pass), base_failed and kept. Columns of docs with these names are replaced. A null text counts as empty: it has no
-    words, so it fails. Empty and repeated rows are judged one by one; no row is dropped here."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(t, " \t\n\x0b\x0c\r", "")
+def _words_and_lines(t: Column) -> tuple[Column, Column]:
+    """(n, repeat) of the words and (n, dup, kept) of the lines of a text."""
     lines = F.filter(F.split(t, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     of_words = bound(words_of(t), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat")))
     of_lines = bound(
@@ -99,21 +95,43 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
             F.aggregate(F.filter(s, line_passes), F.lit(0), lambda a, x: a + F.size(words_of(x))).alias("kept"),
         ),
     )
+    return of_words, of_lines
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (n_repeat_words * 100 > n_words * MAX_REPEAT_PERCENT)
+
+
+def passes(text: Column) -> Column:
+    """The verdict alone, as a condition: false for null texts."""
+    words, lines = _words_and_lines(F.coalesce(text, F.lit("")))
+    return bound(
+        F.struct(words.alias("w"), lines.alias("l")),
+        lambda s: ~base_failed(s["w"]["n"], s["w"]["repeat"]) & (s["l"]["kept"] * 100 >= s["w"]["n"] * MIN_KEPT_PERCENT),
+    )
+
+
+def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, kept_words (words of lines that
+    pass), base_failed and kept. Columns of docs with these names are replaced. A null text counts as empty: it has no
+    words, so it fails. Empty and repeated rows are judged one by one; no row is dropped here."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    of_words, of_lines = _words_and_lines(t)
+    w, ln = common.fresh(docs.columns, "_w", "_l")
     columns = {
-        "n_words": F.col("_w.n"),
-        "word_chars": F.length(bare),
+        "n_words": F.col(f"{w}.n"),
+        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
         "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-        "n_dup_lines": F.col("_l.dup"),
-        "n_repeat_words": F.col("_w.repeat"),
-        "n_lines": F.col("_l.n"),
-        "kept_words": F.col("_l.kept"),
+        "n_dup_lines": F.col(f"{ln}.dup"),
+        "n_repeat_words": F.col(f"{w}.repeat"),
+        "n_lines": F.col(f"{ln}.n"),
+        "kept_words": F.col(f"{ln}.kept"),
     }
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return (
-        docs.withColumns({"_w": of_words, "_l": of_lines})
+        docs.withColumns({w: of_words, ln: of_lines})
         .withColumns({n: c.cast("long") for n, c in columns.items()})
-        .drop("_w", "_l")
-        .withColumn("base_failed", failed)
+        .drop(w, ln)
+        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") * 100 >= F.col("n_words") * MIN_KEPT_PERCENT))
     )
 

@@ -110,13 +110,14 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     """
     new = ["body", "n_quotes", "n_linked", "reply_to", "branch", "reply_path"]
     names = [c for c in messages.columns if c not in new]
-    rows = common.saved(messages.select(*(f"`{c}`" for c in names)).withColumn("_rid", F.monotonically_increasing_id()), "messages")
-    read = rows.select(F.col("_rid").alias("rid"), text).mapInArrow(
+    (rid,) = common.fresh(names, "_rid")
+    rows = common.saved(messages.select(*(f"`{c}`" for c in names)).withColumn(rid, F.monotonically_increasing_id()), "messages")
+    read = rows.select(F.col(rid).alias("rid"), text).mapInArrow(
         common.on_workers(__name__, "parsed"),
         "rid long, body string, said array<long>, quoted array<struct<passage: int, level: int, choice: int, hash: long>>",
     )
     read = common.saved(read, "parsed")
-    at = rows.select(F.col("_rid").alias("rid"), F.col(conv).alias("conv"), F.col(turn).cast("long").alias("t")).where("conv is not null and t is not null")
+    at = rows.select(F.col(rid).alias("rid"), F.col(conv).alias("conv"), F.col(turn).cast("long").alias("t")).where("conv is not null and t is not null")
     msgs = common.saved(at.join(read.select("rid", "said", "quoted"), "rid"), "said")
     first = msgs.select("conv", "t", F.explode("said").alias("hash")).groupBy("conv", "hash").agg(F.min("t").alias("origin"))
     quotes = msgs.select("rid", "conv", "t", F.explode("quoted").alias("q")).select("rid", "conv", "t", "q.*")
@@ -147,10 +148,10 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     paths = branch_paths(heads.join(tops, ["conv", "reply_to"], "left").select("conv", "branch", "top"))
     pad = F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 10, "0")), "/")
     where = turns.select("conv", "t", "branch").join(paths.select("conv", "branch", pad.alias("reply_path")), ["conv", "branch"])
-    info = replies.join(where, ["conv", "t"]).select(F.col("rid").alias("_rid"), "n_quotes", "n_linked", "reply_to", "branch", "reply_path")
+    info = replies.join(where, ["conv", "t"]).select(F.col("rid").alias(rid), "n_quotes", "n_linked", "reply_to", "branch", "reply_path")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_quotes", "n_linked")}
     return (
-        rows.join(read.select(F.col("rid").alias("_rid"), "body"), "_rid").join(info, "_rid", "left").withColumns(zero)
+        rows.join(read.select(F.col("rid").alias(rid), "body"), rid).join(info, rid, "left").withColumns(zero)
         .select(*(f"`{c}`" for c in names), *new)
     )
 

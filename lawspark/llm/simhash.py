@@ -157,12 +157,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest key (nulls last), of equal ones the smallest hash of
     key and text. All columns stay; rows equal in key and text count as one."""
-    mark = F.xxhash64(F.col(key), F.col(text))
+    mark, (name,) = F.xxhash64(F.col(key), F.col(text)), common.fresh(docs.columns, "_mark")
     fps = common.saved(fingerprints(docs.select(F.col(key).alias("k"), mark.alias("mark"), F.col(text).alias("t")), "t"), "fingerprints")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "mark"))
     by_fp = fps.groupBy("fp").agg(first.alias("first")).join(groups(fps, radius), "fp")
-    stay = by_fp.groupBy("grp").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("_mark"))
-    return docs.withColumn("_mark", mark).join(stay, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    stay = by_fp.groupBy("grp").agg(F.min("first").alias("first")).select(F.col("first.mark").alias(name))
+    return docs.withColumn(name, mark).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

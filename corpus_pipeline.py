@@ -13,7 +13,7 @@ from lawspark.llm import common, mixing, packing, quality, simhash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.with_quality(docs).where("kept").select(*docs.columns)
+    return docs.where(quality.passes(docs["text"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Laws over streams of snapshots."""

@@ -127,9 +127,18 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     )
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM, by the worker and once more as Python values.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 512
+
+
 def on_workers(module: str, function: str, **params):
-    """A function for mapInArrow that imports `function` on the worker, where what the module keeps is shared by its tasks."""
+    """A function for mapInArrow that imports `function` on the worker, where what the module keeps is shared by its tasks. The
+    session's Arrow batches are cut to BATCH_ROWS rows if they are larger."""
     root = str(Path(__file__).resolve().parents[2])
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
 
     def run(batches):
         import importlib

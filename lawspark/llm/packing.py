@@ -13,6 +13,7 @@ ranked by many tasks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -45,11 +46,9 @@ class Coder:
     stretch without a word boundary that is long enough to slow it down."""
 
     def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.fast = None
-        self.special = {t.content: k for k, t in self.slow.get_added_tokens_decoder().items()}
+        self.vocabulary, self._slow, self.fast = vocabulary, None, None
+        with open(vocabulary, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.unusual = re.compile(f"{USUAL}|\\S{{1500}}|\\s{{1500}}")
         self.seam = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -62,6 +61,15 @@ class Coder:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
+    @property
+    def slow(self):
+        """The library's own tokenizer, loaded when a text first needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.vocabulary)
+        return self._slow
+
     def part(self, text: str) -> list[int]:
         if self.fast is None or self.unusual.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids

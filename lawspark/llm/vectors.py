@@ -2,14 +2,15 @@
 
 A rotation learnt on a bounded sample turns each vector into 64 balanced bits. The code's four 16-bit parts are the tables;
 vectors are candidates when some part differs in at most one bit, which holds for every pair of codes up to 7 bits apart
-and for most pairs farther. Each part is looked up by its two bytes (one of them is equal when at most one bit differs), so a
-vector is stored eight times, not once for each of the 17 neighbouring keys. Candidates are reranked by their cosine in
-double precision right in the bucket; a pair counts in the first bucket that has it.
+and for most pairs farther. When at most one bit of a part differs, one of its bytes is equal and one half of the other byte:
+each part is looked up by these twelve bits, in four ways. So a vector is stored sixteen times, not once for each of the 68
+neighbouring keys of its parts. Candidates are reranked by their cosine in double precision right in the bucket; a pair
+counts in the first bucket that has it.
 
 Scale: equal vectors are one class from the start. A bucket with more than BLOCK classes is dealt over blocks by hash, and
 block pairs are compared by tasks of bounded size: nothing is capped. A block pair returns link counts and a spanning forest, so
 a dense group costs its members, not its pairs, in the shuffle. The number of buckets is fixed by the code, so the counts of
-buckets are broadcast; with CODE_BITS of 64 a bucket holds 1/256 of the classes.
+buckets are broadcast (65,536 for each length of vectors); a bucket holds 1/4096 of the classes when bits are balanced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ COSINE = 0.95
 #: The rotation is fitted on at most so many classes of each length, those with the smallest hashes.
 SAMPLE = 8192
 ROUNDS = 40
-BITS, TABLES = 64, 4
+BITS, TABLES, WAYS, KEYS = 64, 4, 4, 4096
 BLOCK = 1024
 SEED = 20240
 
@@ -57,50 +58,68 @@ def encode(model: Model, unit: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def keyed(batches, models: dict[int, Model]):
-    """Classes (cid, m, embedding) to eight rows each: bucket, cid, m, code, vec (doubles of the unit vector as bytes)."""
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in double precision; by their largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def keyed(batches, models: dict[int, Model], kind: str):
+    """Classes (cid, m, embedding) to sixteen rows each: bucket, cid, m, code, vec (the components as bytes of their own kind)."""
     for batch in batches:
         sizes = np.array([len(x) for x in batch.column(2)])
         for d in np.unique(sizes):
             at = np.flatnonzero(sizes == d)
             part = batch.take(pa.array(at))
             x = np.array(part.column(2).to_pylist(), np.float64)
-            x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-            codes = encode(models[int(d)], x)
-            vecs = pa.array([v.tobytes() for v in x], pa.binary())
-            for place in range(2 * TABLES):  # the code's eight bytes
-                key = (codes >> np.uint64(8 * place)) & np.uint64(255)
-                bucket = (int(d) * 2 * TABLES + place) * 256 + key.astype(np.int64)
+            codes = encode(models[int(d)], units(x))
+            vecs = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
+            for place in range(WAYS * TABLES):
+                bucket = (int(d) * WAYS * TABLES + place) * KEYS + key_of(codes, place).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket), part.column(0), part.column(1), pa.array(codes.view(np.int64)), vecs], ["bucket", "cid", "m", "code", "vec"]
                 )
 
 
+def key_of(codes: np.ndarray, place: int) -> np.ndarray:
+    """Twelve bits of a part: one byte, and one half of the other byte."""
+    table, byte, half = place // WAYS, place // 2 % 2, place % 2
+    one = (codes >> np.uint64(16 * table + 8 * byte)) & np.uint64(255)
+    other = (codes >> np.uint64(16 * table + 8 * (1 - byte) + 4 * half)) & np.uint64(15)
+    return one << np.uint64(4) | other
+
+
 def candidates(a: np.ndarray, b: np.ndarray, place: int) -> np.ndarray:
-    """Pairs of codes in one bucket of byte `place` that no earlier bucket has and whose part differs in at most one bit."""
+    """Pairs of codes in one bucket of a place that no earlier bucket has and whose part differs in at most one bit. Equal parts
+    meet in all four ways and count in the first; parts with one differing bit meet in one way only."""
     x = a[:, None] ^ b[None, :]
-    mine = np.bitwise_count((x >> np.uint64(16 * (place // 2))) & np.uint64(0xFFFF))
-    hit = mine <= 1
-    if place % 2:  # with an equal low byte the pair was in the bucket before
-        hit &= ((x >> np.uint64(8 * (place - 1))) & np.uint64(255)) != 0
-    for t in range(place // 2):
+    mine = (x >> np.uint64(16 * (place // WAYS))) & np.uint64(0xFFFF)
+    hit = np.bitwise_count(mine) <= 1
+    if place % WAYS:
+        hit &= mine != 0
+    for t in range(place // WAYS):
         hit &= np.bitwise_count((x >> np.uint64(16 * t)) & np.uint64(0xFFFF)) > 1
     return hit
 
 
-def reranked(batches, cosine: float):
+def reranked(batches, cosine: float, kind: str):
     """Block pairs to rows (a, b, n): link counts (a, null, n) and links of a spanning forest (a, b, null)."""
 
     def side(row, first):
         ids, m, codes = (row[first + k].values.to_numpy(zero_copy_only=False) for k in range(3))
-        vecs = np.frombuffer(b"".join(row[first + 3].values.to_pylist()), np.float64).reshape(len(ids), -1)
-        return ids, m, codes.view(np.uint64), vecs
+        return ids, m, codes.view(np.uint64)
+
+    def vectors(row, first):
+        rows = row[first + 3].values.to_pylist()
+        return units(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64))
 
     for batch in batches:
         out = []
         for k in range(batch.num_rows):
             row = [batch.column(c)[k] for c in range(batch.num_columns)]
-            place = row[0].as_py() // 256 % (2 * TABLES)
+            if not row[5].is_valid and len(row[1]) < 2:
+                continue
+            place = row[0].as_py() // KEYS % (WAYS * TABLES)
             a = side(row, 1)
             own = not row[5].is_valid
             b = a if own else side(row, 5)
@@ -111,13 +130,15 @@ def reranked(batches, cosine: float):
             n = int(hit.sum())
             if not n:
                 continue
+            va = vectors(row, 1)
+            vb = va if own else vectors(row, 5)
             if n * 20 > hit.size:
-                hit &= a[3] @ b[3].T >= cosine
+                hit &= va @ vb.T >= cosine
             else:
                 i, j = np.nonzero(hit)
                 for at in range(0, n, 65536):
                     s = slice(at, at + 65536)
-                    hit[i[s], j[s]] = np.einsum("ij,ij->i", a[3][i[s]], b[3][j[s]]) >= cosine
+                    hit[i[s], j[s]] = np.einsum("ij,ij->i", va[i[s]], vb[j[s]]) >= cosine
             if not hit.any():
                 continue
             for ids, sums in ((a[0], hit @ b[1]), (b[0], a[1] @ hit)):
@@ -159,11 +180,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         rows.where("good").groupBy("embedding").agg(F.min("k").alias("low"), F.count(F.lit(1)).alias("m")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )  # written at once: the numbers stay
+    kind = "<f4" if "float" in classes.schema["embedding"].dataType.simpleString() else "<f8"
     stored = classes.select("cid", "m", "embedding").mapInArrow(
-        common.on_workers(__name__, "keyed", models=models_of(classes, sample)), "bucket long, cid long, m long, code long, vec binary"
+        common.on_workers(__name__, "keyed", models=models_of(classes, sample), kind=kind), "bucket long, cid long, m long, code long, vec binary"
     )
     stored = common.saved(stored, "stored")
-    buckets = stored.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # 2048 rows for each length
+    buckets = stored.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # at most WAYS * TABLES * KEYS rows for each length
     buckets = common.saved(buckets, "buckets")
     blocks = (
         stored.join(F.broadcast(buckets), "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
@@ -181,7 +203,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     found = common.saved(
         pairs.join(blocks, ["bucket", "block"]).join(right, ["bucket", "other"], "left")
         .select("bucket", "cid", "m", "code", "vec", "cid2", "m2", "code2", "vec2")
-        .mapInArrow(common.on_workers(__name__, "reranked", cosine=cosine), "a long, b long, n long"),
+        .mapInArrow(common.on_workers(__name__, "reranked", cosine=cosine, kind=kind), "a long, b long, n long"),
         "found",
     )
     common.drop_saved(stored)

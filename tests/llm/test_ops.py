@@ -485,6 +485,21 @@ def test_op9(spark, odd_dir, empty_dir):
     assert vectors.op9_near_vectors(spark, empty_dir).count() == 0
 
 
+def test_each_candidate_counts_once():
+    """Over all buckets a pair is a candidate exactly once if some part differs in at most one bit, else never."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) for x in base for n in (1, 2, 4, 6, 9, 14)]
+    codes = np.unique(np.concatenate([base, np.array(flips, np.uint64)]))
+    count = np.zeros((len(codes), len(codes)), int)
+    for place in range(vectors.WAYS * vectors.TABLES):
+        keys = vectors.key_of(codes, place)
+        count += vectors.candidates(codes, codes, place) & (keys[:, None] == keys[None, :])
+    x = codes[:, None] ^ codes[None, :]
+    near = np.any([np.bitwise_count((x >> np.uint64(16 * t)) & np.uint64(0xFFFF)) <= 1 for t in range(4)], axis=0)
+    assert (count == near).all()
+
+
 def test_vector_recall(spark):
     """Recall on planted pairs down to the limit, and exactness of what is linked."""
     rng = np.random.default_rng(8)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawspark.llm import common, mixing, packing, quality, simhash
+from lawspark.llm import common, mixing, nearsets, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (5-word shingles, Jaccard similarity of 0.8 or more) stays, the one with the
+    smallest doc_id."""
+    return nearsets.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express SimHash, the permutations and the packing; tests/llm hold the stages against brute force.
+#: SQL can't express the components, the permutations and the packing; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 

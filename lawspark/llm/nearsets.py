@@ -1,0 +1,185 @@
+"""Near-duplicates by exact similarity: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+Equal sets fall together first. Of n shingles in one order common to all texts, a similar text must share one of the first
+n - ceil(0.8 n) + 1 (prefix filtering), so texts that share such a shingle are candidates and no pair is missed, whatever the
+order. Rare shingles come first: those that a sample of texts holds often go last. Candidates that are connected are then compared,
+all with all, by their whole sets; sizes too far apart for 0.8 are never paired.
+
+Scale: a shared shingle costs a row for each text that has it early, as a link to the smallest text with it, never its pairs. Of
+connected candidates, blocks of about BLOCK shingles are compared in pairs by matrix products, so a dense group is dealt over many
+tasks; links leave a block pair as a spanning forest. Shingles are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+SHINGLE, PERCENT = 5, 80
+SEED = 42
+#: Texts of the sample that finds common shingles, and in how many of them a shingle is common. They only choose the order.
+SAMPLE, COMMON = 16384, 8
+#: Shingles of a block of texts.
+BLOCK = 1 << 15
+#: Sizes by powers of this number: over 100/80, so that similar sets are in the same class or in neighbouring ones.
+CLASS = 1.3
+#: Cells of a block's matrix at a time.
+CELLS = 1 << 23
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the 5-word shingles, A-Z lower-cased; a text of fewer words is one shingle."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()  # on bytes: A-Z alone, and white space is 9 to 13 and 32
+    if not words:
+        return np.empty(0, np.int64)
+    joined, k = b" ".join(words), min(SHINGLE, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64).view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
+def shingled(batches):
+    """Arrow batches of (k, mark, text) to (k, mark, sid: hash of the set, shingles)."""
+    import xxhash
+
+    for batch in batches:
+        sets = [shingles(t.as_py()) for t in batch.column(2)]
+        sids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), lists(sets)], ["k", "mark", "sid", "shingles"])
+
+
+def needed(n: int) -> int:
+    """Shingles that a similar text must share with one of n shingles."""
+    return -(-n * PERCENT // 100)
+
+
+def prefixed(batches, often: np.ndarray, counts: np.ndarray):
+    """(sid, shingles) to (sid, token): the first shingles in the common order, one of which each similar text has as well."""
+    for batch in batches:
+        sids, found = batch.column(0).to_numpy(), []
+        for s in batch.column(1):
+            s = s.values.to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(s), np.int64)
+            if len(often) and len(s):
+                at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                rank = np.where(often[at] == s, counts[at], 0)
+            found.append(s[np.lexsort((s, rank))[: len(s) - needed(len(s)) + 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sids, [len(x) for x in found])), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["sid", "token"])
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets on the left and on the right are similar, exactly."""
+    sets = [*left, *right]
+    sizes = np.array([len(s) for s in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.cumsum(keep := np.bincount(at, minlength=len(names)) > 1) - 1
+    row, at, width = row[keep[at]], shared[at[keep[at]]], int(keep.sum())
+    both, step = np.zeros((len(left), len(right))), max(1, CELLS // len(sets))
+    for low in range(0, width, step):
+        here = (at >= low) & (at < low + step)
+        cells = np.zeros((len(sets), min(step, width - low)), np.float32)
+        cells[row[here], at[here] - low] = 1
+        both += cells[: len(left)] @ cells[len(left) :].T
+    return both * 100 >= PERCENT * (sizes[: len(left), None] + sizes[None, len(left) :] - both)
+
+
+def compared(batches):
+    """Block pairs (a, b: lists of sids, sa, sb: their sets; same: whether they are one block) to links (a, b)."""
+    for batch in batches:
+        ends, tops = [], []
+        for k in range(batch.num_rows):
+            a, b = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (0, 1))
+            sa, sb = ([s.values.to_numpy(zero_copy_only=False) for s in batch.column(c)[k].values] for c in (2, 3))
+            hit = similar(sa, sb)
+            if batch.column(4)[k].as_py():
+                np.fill_diagonal(hit, False)
+            if hit.any():
+                e, t = common.stars(hit, a, b)
+                ends.append(e)
+                tops.append(t)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends)), pa.array(np.concatenate(tops))], ["a", "b"])
+
+
+def often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample of texts, sorted, and how many texts of the sample have them."""
+    rate = max(1, sets.count() // SAMPLE)
+    found = (
+        sets.where(F.pmod(F.xxhash64("sid", F.lit(SEED)), F.lit(rate)) == 0)
+        .select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+        .toArrow()
+    )
+    tokens, counts = found["token"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(node, component) of the sids that share a shingle of their prefixes with another, directly or through others."""
+    tokens, counts = often(sets)
+    early = sets.select("sid", "shingles").mapInArrow(common.on_workers(__name__, "prefixed", often=tokens, counts=counts), "sid long, token long")
+    early = common.saved(early, "prefixes")
+    shared = early.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low")
+    out = common.components(early.join(shared, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")))
+    common.drop_saved(early)
+    return out
+
+
+def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """sets: a saved table with sid and shingles; sids may repeat. Links (a, b) that connect exactly the sids that are connected by
+    pairs of similar sets."""
+    near = candidates(sets)
+    size = F.floor(F.log(F.size("shingles")) / math.log(CLASS)).cast("int")
+    rows = sets.select("sid", "shingles").join(near.select(F.col("node").alias("sid"), F.col("component").alias("grp")), "sid").dropDuplicates(["sid"])
+    rows = common.saved(rows.withColumn("size", size), "candidates")
+    parts = common.saved(rows.groupBy("grp", "size").agg(F.ceil(F.sum(F.size("shingles")) / block).cast("int").alias("blocks")), "parts")
+    blocks = common.saved(
+        rows.join(parts, ["grp", "size"]).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+        .groupBy("grp", "size", "block").agg(F.collect_list(F.struct("sid", "shingles")).alias("s"))
+        .select("grp", "size", "block", "s.sid", "s.shingles"),
+        "blocks",
+    )
+    other = parts.select("grp", F.col("size").alias("size_b"), F.col("blocks").alias("nb"))
+    pairs = (
+        parts.withColumn("size_b", F.explode(F.array(F.col("size"), F.col("size") + 1))).join(other, ["grp", "size_b"])
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block_b", F.explode(F.sequence(F.when(F.col("size") == F.col("size_b"), F.col("block")).otherwise(F.lit(0)), F.col("nb") - 1)))
+        .select("grp", "size", "block", "size_b", "block_b", ((F.col("size") == F.col("size_b")) & (F.col("block") == F.col("block_b"))).alias("same"))
+    )
+    right = blocks.select("grp", F.col("size").alias("size_b"), F.col("block").alias("block_b"), F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    return (
+        pairs.join(blocks.withColumnsRenamed({"sid": "a", "shingles": "sa"}), ["grp", "size", "block"]).join(right, ["grp", "size_b", "block_b"])
+        .where(~F.col("same") | (F.size("a") > 1)).select("a", "b", "sa", "sb", "same")
+        .mapInArrow(common.on_workers(__name__, "compared"), "a long, b long")
+    )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the smallest key (nulls last), of equal ones the smallest hash of
+    key and text. All columns stay; rows equal in key and text count as one. Null and empty texts are copies of each other."""
+    mark, (name,) = F.xxhash64(F.col(key), F.col(text)), common.fresh(docs.columns, "_mark")
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    sets = docs.select(F.col(key).alias("k"), mark.alias("mark"), F.col(text).alias("t"))
+    sets = common.saved(sets.mapInArrow(common.on_workers(__name__, "shingled"), f"k {kind}, mark long, sid long, shingles array<long>"), "sets")
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "mark"))
+    firsts = common.saved(sets.groupBy("sid").agg(first.alias("first")), "firsts")
+    found = common.components(links(sets, block))
+    common.drop_saved(sets)
+    firsts = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("grp", F.coalesce("component", "sid"))
+    stay = firsts.groupBy("grp").agg(F.min("first").alias("first")).select(F.col("first.mark").alias(name))
+    return docs.withColumn(name, mark).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -1,0 +1,61 @@
+"""The pipeline's near-duplicate stage against all pairs of 5-word shingle sets."""
+
+from collections import defaultdict
+
+import numpy as np
+
+import corpus_pipeline
+from lawspark.llm import nearsets, simhash
+
+from .test_ops import brute_components
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = [x.lower() for x in (t or "").encode().split()]
+        k = min(5, len(w))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    return out
+
+
+def brute_stay(rows):
+    """Smallest keys of the groups connected by a 5-word Jaccard similarity of 0.8 or more."""
+    rows, sets = sorted(rows), brute_sets([t for _, t in sorted(rows)])
+    links, by = [], defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            by[x].append(i)
+    for i, j in {(i, j) for b in by.values() for i in b for j in b if j < i}:
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            links.append((i, j))
+    return sorted(set(brute_components([k for k, _ in rows], links)))
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[rng.integers(len(words))] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_stage_links_all_similar_texts(spark, sf):
+    """Loose copies around the limit, some in a dense group, among unlike texts that share a common passage."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(4000, size=rng.integers(60, 300))] for _ in range(60)]
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join(b) for b in base] + [edited(rng, b, t) for b in base for t in (1, 2, 4, 6)]
+    texts += [edited(rng, base[0], t) for t in range(1, 9) for _ in range(12)] + [" ".join(passage + b[:40]) for b in base] + ["", " ", "a b", "A  b", "a b c"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_stay(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()) == want
+    assert sorted(r.doc_id for r in nearsets.one_of_each(df, block=1000).collect()) == want
+    fps = [simhash.fingerprint(t) for t in texts[:300]]
+    assert sum((fps[k] ^ fps[60 + 4 * k]).bit_count() > 2 for k in range(60)) > 5
+
+
+def test_given_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in nearsets.one_of_each(docs).collect()) == brute_stay(rows)

@@ -12,8 +12,8 @@ from lawspark.llm import common, mixing, nearsets, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return docs.where(quality.passes(docs["text"]))
+    """Lines that the quality rules reject go, and documents that lose too much by it."""
+    return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

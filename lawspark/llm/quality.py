@@ -83,9 +83,13 @@ def line_passes(line: Column) -> Column:
     )
 
 
+def has_words(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
+
+
 def _words_and_lines(t: Column) -> tuple[Column, Column]:
     """(n, repeat) of the words and (n, dup, kept) of the lines of a text."""
-    lines = F.filter(F.split(t, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(t, "\n"), has_words)
     of_words = bound(words_of(t), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat")))
     of_lines = bound(
         lines,
@@ -111,6 +115,22 @@ def passes(text: Column) -> Column:
     )
 
 
+def cleaned(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The documents that pass, their text without the lines that fail, and its length in chars if docs has that column. Lines
+    without words stay, so a text whose lines all pass is unchanged."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = bound(words_of(t), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat")))
+    stay = F.filter(F.split(t, "\n"), lambda s: ~has_words(s) | line_passes(s))
+    count = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + F.size(words_of(x)))
+    # lines are judged only where the words pass; a generator, so that the filter isn't computed apart from the text
+    w, n, out = common.fresh(docs.columns, "_w", "_n", "_out")
+    lines = bound(stay, lambda s: F.when(count(s) * 100 >= F.col(n) * MIN_KEPT_PERCENT, F.array_join(s, "\n")))
+    found = docs.select("*", F.inline(F.filter(F.array(words), lambda s: ~base_failed(s["n"], s["repeat"]))).alias(n, w))
+    found = found.select("*", F.explode(F.filter(F.array(lines), lambda s: s.isNotNull())).alias(out))
+    new = {text: F.col(out)} | ({chars: F.length(out).cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
+    return found.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
+
+
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, kept_words (words of lines that
     pass), base_failed and kept. Columns of docs with these names are replaced. A null text counts as empty: it has no

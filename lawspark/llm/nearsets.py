@@ -5,8 +5,8 @@ n - ceil(0.8 n) + 1 (prefix filtering), so texts that share such a shingle are c
 order. Rare shingles come first: those that a sample of texts holds often go last. Candidates that are connected are then compared,
 all with all, by their whole sets; sizes too far apart for 0.8 are never paired.
 
-Scale: a shared shingle costs a row for each text that has it early, as a link to the smallest text with it, never its pairs. Of
-connected candidates, blocks of about BLOCK shingles are compared in pairs by matrix products, so a dense group is dealt over many
+Scale: a shingle costs a row for each text that has it early, as a link to the smallest text with it, never its pairs. Sets are not
+stored but made again of the texts of candidates alone. Of connected candidates, blocks of about BLOCK shingles are compared in pairs by matrix products, so a dense group is dealt over many
 tasks; links leave a block pair as a spanning forest. Shingles are told apart by 64-bit hashes.
 """
 
@@ -17,6 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,7 +25,7 @@ from . import common
 SHINGLE, PERCENT = 5, 80
 SEED = 42
 #: Texts of the sample that finds common shingles, and in how many of them a shingle is common. They only choose the order.
-SAMPLE, COMMON = 16384, 8
+SAMPLE, COMMON = 4096, 4
 #: Shingles of a block of texts.
 BLOCK = 1 << 15
 #: Sizes by powers of this number: over 100/80, so that similar sets are in the same class or in neighbouring ones.
@@ -52,33 +53,53 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-def shingled(batches):
-    """Arrow batches of (k, mark, text) to (k, mark, sid: hash of the set, shingles)."""
+def needed(n: int) -> int:
+    """Shingles that a similar text must share with one of n shingles."""
+    return -(-n * PERCENT // 100)
+
+
+def sid_of(found: np.ndarray) -> int:
     import xxhash
 
-    for batch in batches:
-        sets = [shingles(t.as_py()) for t in batch.column(2)]
-        sids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), lists(sets)], ["k", "mark", "sid", "shingles"])
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def needed(n: int) -> int:
-    """Shingles that a similar text must share with one of n shingles."""
-    return -(-n * PERCENT // 100)
+def sampled(batches):
+    """(text) to (shingles)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([lists([shingles(t.as_py()) for t in batch.column(0)])], ["shingles"])
 
 
 def prefixed(batches, often: np.ndarray, counts: np.ndarray):
-    """(sid, shingles) to (sid, token): the first shingles in the common order, one of which each similar text has as well."""
+    """(k, mark, text) to (k, mark, sid: hash of the set, early: its first shingles in the common order, one of which each similar
+    text has as well; none for a set that the task has met before)."""
+    met = set()
     for batch in batches:
-        sids, found = batch.column(0).to_numpy(), []
-        for s in batch.column(1):
-            s = s.values.to_numpy(zero_copy_only=False)
+        sids, found = [], []
+        for t in batch.column(2):
+            s = shingles(t.as_py())
+            sids.append(sid := sid_of(s))
+            if sid in met:
+                found.append(s[:0])
+                continue
+            met.add(sid)
             rank = np.zeros(len(s), np.int64)
             if len(often) and len(s):
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 rank = np.where(often[at] == s, counts[at], 0)
             found.append(s[np.lexsort((s, rank))[: len(s) - needed(len(s)) + 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sids, [len(x) for x in found])), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["sid", "token"])
+        sids = pa.array(np.array(sids, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, lists(found)], ["k", "mark", "sid", "early"])
+
+
+def chosen(batches, bits: np.ndarray):
+    """(mark, text) to (sid, shingles) of the rows whose mark is in the bit set, and perhaps a few others."""
+    for batch in batches:
+        marks = batch.column(0).to_numpy().view(np.uint64) % np.uint64(len(bits) * 64)
+        rows = np.flatnonzero((bits[marks >> np.uint64(6)] >> (marks & np.uint64(63))) & np.uint64(1))
+        sets = [shingles(batch.column(1)[k].as_py()) for k in rows.tolist()]
+        sids = pa.array(np.array([sid_of(s) for s in sets], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([sids, lists(sets)], ["sid", "shingles"])
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -116,11 +137,12 @@ def compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends)), pa.array(np.concatenate(tops))], ["a", "b"])
 
 
-def often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample of texts, sorted, and how many texts of the sample have them."""
-    rate = max(1, sets.count() // SAMPLE)
+def often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """texts: mark, t. Common shingles of a sample of texts, sorted, and how many texts of the sample have them."""
+    rate = max(1, texts.count() // SAMPLE)
     found = (
-        sets.where(F.pmod(F.xxhash64("sid", F.lit(SEED)), F.lit(rate)) == 0)
+        texts.where(F.pmod(F.xxhash64("mark", F.lit(SEED)), F.lit(rate)) == 0).select("t")
+        .mapInArrow(common.on_workers(__name__, "sampled"), "shingles array<long>")
         .select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
         .toArrow()
     )
@@ -129,23 +151,32 @@ def often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sids that share a shingle of their prefixes with another, directly or through others."""
-    tokens, counts = often(sets)
-    early = sets.select("sid", "shingles").mapInArrow(common.on_workers(__name__, "prefixed", often=tokens, counts=counts), "sid long, token long")
-    early = common.saved(early, "prefixes")
-    shared = early.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low")
-    out = common.components(early.join(shared, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")))
-    common.drop_saved(early)
-    return out
+def candidates(ids: DataFrame) -> DataFrame:
+    """(node, component) of the sids that share an early shingle with another, directly or through others. A shingle's rows travel
+    once, to its smallest sid."""
+    low = F.min("sid").over(W.partitionBy("token"))
+    pairs = ids.select("sid", F.explode("early").alias("token")).select(F.col("sid").alias("a"), low.alias("b"))
+    return common.components(pairs.where("a <> b"))
+
+
+def bit_set(marks: DataFrame, words: int = 1 << 19) -> np.ndarray:
+    """A set of marks as bits by their last digits, of one size whatever their number: it only spares rows that a join would drop."""
+    bit = F.col("mark").bitwiseAND(words * 64 - 1)
+    word = F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("b")
+    found = marks.select(bit.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(word).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return bits
 
 
-def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """sets: a saved table with sid and shingles; sids may repeat. Links (a, b) that connect exactly the sids that are connected by
-    pairs of similar sets."""
-    near = candidates(sets)
+def links(texts: DataFrame, ids: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """texts: mark, t. ids: mark, sid, early. firsts: sid, first (with the mark of one of its texts). Links (a, b) that connect exactly
+    the sids that are connected by pairs of similar sets."""
+    near = common.saved(candidates(ids).select(F.col("node").alias("sid"), F.col("component").alias("grp")), "near")
+    bits = bit_set(near.join(firsts, "sid").select(F.col("first.mark").alias("mark")))
+    whole = texts.select("mark", "t").mapInArrow(common.on_workers(__name__, "chosen", bits=bits), "sid long, shingles array<long>")
     size = F.floor(F.log(F.size("shingles")) / math.log(CLASS)).cast("int")
-    rows = sets.select("sid", "shingles").join(near.select(F.col("node").alias("sid"), F.col("component").alias("grp")), "sid").dropDuplicates(["sid"])
+    rows = whole.join(near, "sid").dropDuplicates(["sid"])
     rows = common.saved(rows.withColumn("size", size), "candidates")
     parts = common.saved(rows.groupBy("grp", "size").agg(F.ceil(F.sum(F.size("shingles")) / block).cast("int").alias("blocks")), "parts")
     blocks = common.saved(
@@ -174,12 +205,14 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", block:
     key and text. All columns stay; rows equal in key and text count as one. Null and empty texts are copies of each other."""
     mark, (name,) = F.xxhash64(F.col(key), F.col(text)), common.fresh(docs.columns, "_mark")
     kind = docs.select(key).schema[0].dataType.simpleString()
-    sets = docs.select(F.col(key).alias("k"), mark.alias("mark"), F.col(text).alias("t"))
-    sets = common.saved(sets.mapInArrow(common.on_workers(__name__, "shingled"), f"k {kind}, mark long, sid long, shingles array<long>"), "sets")
+    texts = docs.select(F.col(key).alias("k"), mark.alias("mark"), F.col(text).alias("t"))
+    tokens, counts = often(texts)
+    ids = texts.mapInArrow(common.on_workers(__name__, "prefixed", often=tokens, counts=counts), f"k {kind}, mark long, sid long, early array<long>")
+    ids = common.saved(ids, "prefixes")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "mark"))
-    firsts = common.saved(sets.groupBy("sid").agg(first.alias("first")), "firsts")
-    found = common.components(links(sets, block))
-    common.drop_saved(sets)
+    firsts = common.saved(ids.groupBy("sid").agg(first.alias("first")), "firsts")
+    found = common.components(links(texts, ids, firsts, block))
+    common.drop_saved(ids)
     firsts = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("grp", F.coalesce("component", "sid"))
     stay = firsts.groupBy("grp").agg(F.min("first").alias("first")).select(F.col("first.mark").alias(name))
     return docs.withColumn(name, mark).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from . import common
 
 TURNS = 1024
-#: Hashes of a passage to be looked up: as a whole, then its lines, the longest first.
-LINES = 8
 
 # Quote marks, and the line that mail programs put above a quote.
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
@@ -61,7 +59,8 @@ def passages(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
 
 
 def parsed(batches):
-    """Arrow batches of (rid, text) to (rid, body, said: hashes, quoted: passages with level and hashes to look up)."""
+    """Arrow batches of (rid, text) to (rid, body, said: hashes, quoted: passages with level and hashes to look up: the whole's, then
+    those of all lines, the longest first)."""
     import xxhash
 
     def h(text: str) -> int:
@@ -80,7 +79,7 @@ def parsed(batches):
             q = []
             for k, (level, ls) in enumerate(p for p in found if p[0]):
                 keys = [normal(" ".join(ls)), *sorted(map(normal, ls), key=len, reverse=True)]
-                q += [{"passage": k, "level": level, "choice": c, "hash": h(x)} for c, x in enumerate(dict.fromkeys(keys[: LINES + 1])) if x]
+                q += [{"passage": k, "level": level, "choice": c, "hash": h(x)} for c, x in enumerate(dict.fromkeys(keys)) if x]
             quoted.append(q)
         cols = [pa.array(bodies, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, pa.list_(one))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rid", "body", "said", "quoted"])

@@ -1,8 +1,8 @@
 """URL filter: fixed rules first, then a path-template tree learnt per host from labelled pages.
 
 Each URL's path becomes at most DEPTH segments. Segments that vary by their form (digits, hexadecimal ids, long tokens) are
-wildcards from the start. The tree is then walked from the root: a node that fans out into many rare children has them
-replaced by one wildcard, and children whose share of bad pages doesn't differ from their siblings' by more than chance are
+wildcards from the start. The tree is then walked from the root: a node that fans out has its rare children replaced by one
+wildcard, and other children whose share of bad pages doesn't differ from their siblings' by more than chance are
 merged into the wildcard as well. A template whose smoothed share of bad labelled pages is too high is rejected.
 
 Scale: pages are first counted by (host, path shape), combined before the shuffle, so that a hot host costs one row for each
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 4
-#: A node's children become one wildcard when there are at least this many and fewer than this many pages for each.
+#: Of a node with at least this many children, those with fewer than this many pages become one wildcard.
 FAN_OUT, RARE = 20, 3
 #: Children differ from their siblings when |difference of bad shares| is over Z standard errors, squared here.
 Z2 = 9
@@ -73,7 +73,7 @@ def template_tree(counts: DataFrame) -> DataFrame:
         tree = tree.withColumn("seg", F.get("shape", F.lit(d)))
         child = tree.groupBy("host", "template", "seg").agg(F.sum("pages").alias("p"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
         node = child.where("seg <> ''").groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("p").alias("np"), F.sum("g").alias("ng"), F.sum("b").alias("nb")
+            F.count(F.lit(1)).alias("kids"), F.sum("g").alias("ng"), F.sum("b").alias("nb")
         )
         n, m = F.col("g") + F.col("b"), F.col("ng") + F.col("nb") - F.col("g") - F.col("b")
         other_bad = F.col("nb") - F.col("b")
@@ -81,8 +81,8 @@ def template_tree(counts: DataFrame) -> DataFrame:
         left = F.pow(F.col("b") * m - other_bad * n, F.lit(2)) * (n + m)
         right = Z2 * F.col("nb") * (F.col("ng")) * n * m
         alike = (n == 0) | (m == 0) | (left.cast("double") <= right.cast("double"))
-        many = (F.col("kids") >= FAN_OUT) & (F.col("np") < F.col("kids") * RARE)
-        merged = F.when(F.col("seg") == "", F.lit("")).when((F.col("seg") == "*") | many | (F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
+        rare = (F.col("kids") >= FAN_OUT) & (F.col("p") < RARE)
+        merged = F.when(F.col("seg") == "", F.lit("")).when((F.col("seg") == "*") | rare | (F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
         step = child.join(node, ["host", "template"], "left").select("host", "template", "seg", merged.alias("to"))
         tree = tree.join(step, ["host", "template", "seg"]).withColumn(
             "template", F.when(F.col("to") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))

@@ -1,6 +1,6 @@
 """URL filter: fixed rules first, then a path-template tree learnt per host from labelled pages.
 
-Each URL's path becomes at most DEPTH segments. Segments that vary by their form (digits, hexadecimal ids, long tokens) are
+Each URL's path becomes its segments. Segments that vary by their form (digits, hexadecimal ids, long tokens) are
 wildcards from the start. The tree is then walked from the root: a node that fans out has its rare children replaced by one
 wildcard, and other children whose share of bad pages doesn't differ from their siblings' by more than chance are
 merged into the wildcard as well. A template whose smoothed share of bad labelled pages is too high is rejected.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Levels of the SQL counterpart alone; the query goes as deep as the paths.
 DEPTH = 4
 #: Of a node with at least this many children, those with fewer than this many pages become one wildcard.
 FAN_OUT, RARE = 20, 3
@@ -59,18 +60,17 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """The path's first DEPTH segments, those of a varying form as *; missing ones are empty."""
+    """The path's segments, those of a varying form as *."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
-    return F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda i: F.coalesce(F.get(parts, i), F.lit("")))
+    return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def template_tree(counts: DataFrame) -> DataFrame:
-    """counts: host, shape (array of DEPTH segments), pages, good, bad. Returns host, shape, template, t_good, t_bad: the
-    template that each shape ends in, with the template's labelled pages."""
+    """counts: host, shape (array of segments), pages, good, bad. Returns host, shape, template, t_good, t_bad: the template that
+    each shape ends in, with the template's labelled pages. There are as many levels as the longest shape has segments."""
     tree = counts.withColumn("template", F.lit(""))
-    for d in range(DEPTH):
-        tree = tree.withColumn("seg", F.get("shape", F.lit(d)))
+    for d in range(counts.agg(F.max(F.size("shape"))).first()[0] or 0):
+        tree = tree.withColumn("seg", F.coalesce(F.get("shape", F.lit(d)), F.lit("")))
         child = tree.groupBy("host", "template", "seg").agg(F.sum("pages").alias("p"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
         node = child.where("seg <> ''").groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("kids"), F.sum("g").alias("ng"), F.sum("b").alias("nb")

@@ -18,3 +18,10 @@ def test_frequent_branch_beside_many_rare_ones(spark):
     pages = [(f"/{name(k)}", False) for k in range(1000)] + [("/casino/x", True)] * 500
     got = judged(spark, pages)
     assert {got[k] for k in range(1000)} == {("allow", "/*")} and {got[k] for k in range(1000, 1500)} == {("block", "/casino/x")}
+
+
+def test_sections_below_four_levels(spark):
+    pages = [(f"/2024/05/12/news/{'casino' if k % 2 else 'sports'}/story", bool(k % 2)) for k in range(400)]
+    got = judged(spark, pages)
+    assert {got[k] for k in range(0, 400, 2)} == {("allow", "/*/*/*/news/sports/story")}
+    assert {got[k] for k in range(1, 400, 2)} == {("block", "/*/*/*/news/casino/story")}

@@ -79,7 +79,8 @@ def template_tree(counts: DataFrame) -> DataFrame:
         other_bad = F.col("nb") - F.col("b")
         # (b/n - o/m)^2 <= Z2 * q(1-q)(1/n + 1/m), q pooled; times n^2 m^2 (n+m): nothing is divided
         left = F.pow(F.col("b") * m - other_bad * n, F.lit(2)) * (n + m)
-        right = Z2 * F.col("nb") * (F.col("ng")) * n * m
+        whole = [c.cast("decimal(38,0)") for c in (F.col("nb"), F.col("ng"), n, m)]  # a long overflows from some 64,000 labels
+        right = Z2 * whole[0] * whole[1] * whole[2] * whole[3]
         alike = (n == 0) | (m == 0) | (left.cast("double") <= right.cast("double"))
         rare = (F.col("kids") >= FAN_OUT) & (F.col("p") < RARE)
         merged = F.when(F.col("seg") == "", F.lit("")).when((F.col("seg") == "*") | rare | (F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))

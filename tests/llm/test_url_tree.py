@@ -25,3 +25,11 @@ def test_sections_below_four_levels(spark):
     got = judged(spark, pages)
     assert {got[k] for k in range(0, 400, 2)} == {("allow", "/*/*/*/news/sports/story")}
     assert {got[k] for k in range(1, 400, 2)} == {("block", "/*/*/*/news/casino/story")}
+
+
+def test_large_hot_host(spark):
+    rows = [("h", ["a", "x"], 10**8, 9 * 10**7, 10**7), ("h", ["b", "x"], 10**8, 10**7, 9 * 10**7), ("g", ["a"], 2 * 10**5, 10**5, 10**5), ("g", ["b"], 2 * 10**5, 10**5, 10**5)]
+    counts = spark.createDataFrame(rows, "host string, shape array<string>, pages long, good long, bad long")
+    got = {(r.host, r.shape[0]): (r.template, r.t_good, r.t_bad) for r in urls.template_tree(counts).collect()}
+    assert got["h", "a"] == ("/a/x", 9 * 10**7, 10**7) and got["h", "b"] == ("/b/x", 10**7, 9 * 10**7)
+    assert got["g", "a"] == got["g", "b"] == ("/*", 2 * 10**5, 2 * 10**5)

@@ -2,7 +2,7 @@
 
 Equal sets fall together first. Of n shingles in one order common to all texts, a similar text must share one of the first
 n - ceil(0.8 n) + 1 (prefix filtering), so texts that share such a shingle are candidates and no pair is missed, whatever the
-order. Rare shingles come first: those that a sample of texts holds often go last. Candidates that are connected are then compared,
+order. Prefixes longer by l - 1 share l, so a text with fewer shared early shingles is no candidate. Rare shingles come first: those that a sample of texts holds often go last. Candidates that are connected are then compared,
 all with all, by their whole sets; sizes too far apart for 0.8 are never paired.
 
 Scale: a shingle costs a row for each text that has it early, as a link to the smallest text with it, never its pairs. Sets are not
@@ -58,6 +58,11 @@ def needed(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
+def least(n: int) -> int:
+    """Early shingles that a similar text of n shingles or more shares with a text: prefixes are longer by as many less one."""
+    return n // 16 + 1
+
+
 def sid_of(found: np.ndarray) -> int:
     import xxhash
 
@@ -75,10 +80,11 @@ def prefixed(batches, often: np.ndarray, counts: np.ndarray):
     text has as well; none for a set that the task has met before)."""
     met = set()
     for batch in batches:
-        sids, found = [], []
+        sids, found, needs = [], [], []
         for t in batch.column(2):
             s = shingles(t.as_py())
             sids.append(sid := sid_of(s))
+            needs.append(0)
             if sid in met:
                 found.append(s[:0])
                 continue
@@ -87,9 +93,10 @@ def prefixed(batches, often: np.ndarray, counts: np.ndarray):
             if len(often) and len(s):
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 rank = np.where(often[at] == s, counts[at], 0)
-            found.append(s[np.lexsort((s, rank))[: len(s) - needed(len(s)) + 1]])
+            found.append(s[np.lexsort((s, rank))[: len(s) - needed(len(s)) + least(len(s))]])
+            needs[-1] = least(needed(len(s)))
         sids = pa.array(np.array(sids, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, lists(found)], ["k", "mark", "sid", "early"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, lists(found), pa.array(needs, pa.int32())], ["k", "mark", "sid", "early", "least"])
 
 
 def chosen(batches, bits: np.ndarray):
@@ -152,11 +159,14 @@ def often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(ids: DataFrame) -> DataFrame:
-    """(node, component) of the sids that share an early shingle with another, directly or through others. A shingle's rows travel
+    """(node, component) of the sids with enough early shingles that others have as well, connected by such shingles. A shingle's rows travel
     once, to its smallest sid."""
-    low = F.min("sid").over(W.partitionBy("token"))
-    pairs = ids.select("sid", F.explode("early").alias("token")).select(F.col("sid").alias("a"), low.alias("b"))
-    return common.components(pairs.where("a <> b"))
+    low, high = (f("sid").over(W.partitionBy("token")) for f in (F.min, F.max))
+    rows = ids.select("sid", "least", F.explode("early").alias("token")).withColumns({"low": low, "high": high})
+    rows = common.saved(rows.where("low < high").select("sid", "least", "token"), "shared")
+    enough = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("sid")
+    rows = common.saved(rows.join(enough, "sid").select("sid", "token"), "shared")
+    return common.components(rows.select(F.col("sid").alias("a"), low.alias("b")).where("a <> b"))
 
 
 def bit_set(marks: DataFrame, words: int = 1 << 19) -> np.ndarray:
@@ -207,7 +217,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", block:
     kind = docs.select(key).schema[0].dataType.simpleString()
     texts = docs.select(F.col(key).alias("k"), mark.alias("mark"), F.col(text).alias("t"))
     tokens, counts = often(texts)
-    ids = texts.mapInArrow(common.on_workers(__name__, "prefixed", often=tokens, counts=counts), f"k {kind}, mark long, sid long, early array<long>")
+    ids = texts.mapInArrow(common.on_workers(__name__, "prefixed", often=tokens, counts=counts), f"k {kind}, mark long, sid long, early array<long>, least int")
     ids = common.saved(ids, "prefixes")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "mark"))
     firsts = common.saved(ids.groupBy("sid").agg(first.alias("first")), "firsts")

@@ -18,6 +18,24 @@ BINDERS = {"cell": "per_measured_col", "node": "per_node", "network": "singleton
 LINK = ("link", "per_directed_link")
 GENERIC_DIRECTIONS = ("directed", "link")
 ENDS = {"source_group": "source", "destination_group": "destination", "peer_group": "peer"}
+#: Roles with a known meaning and their templates: m is the measured kind, d the demand kind, the role's end or link direction w.
+ROLE_TEMPLATES = [
+    ("cell", "self", "{col}"),
+    ("node", "measurement_<w>", "<m>_{X}_<w>"),
+    ("node", "demand_self", "<d>_{X}_{X}"),
+    ("link", "o<k>", "<m>_{X}_<w>_{Y}"),
+    ("link", "o<k>_rev", "<m>_{Y}_<w>_{X}"),
+    ("link", "demand", "<d>_{X}_{Y}"),
+    ("link", "demand_rev", "<d>_{Y}_{X}"),
+]
+#: Families with a known meaning, their layer and their predicates.
+FAMILY_PREDICATES = [
+    ("node", "demand_row", "d", (("source", "==", "X"), ("destination", "!=", "X"))),
+    ("node", "demand_col", "d", (("destination", "==", "X"), ("source", "!=", "X"))),
+    ("network", "all_demand", "d", (("source", "!=", "@destination"),)),
+    ("node", "fam_<link>", "m", (("source", "==", "X"),)),
+    ("network", "all_measurement_<single>", "m", ()),
+]
 # End of fixed values.
 
 
@@ -138,47 +156,50 @@ class Layers:
 
     def template(self, binder: str, role: str) -> str | None:
         """The canonical template of a role with a known meaning."""
-        m, d = self.noisy, self.demand_kind
-        if (binder, role) == ("cell", "self"):
-            return "{col}"
-        if binder == "node":
-            if role == "demand_self":
-                return f"{d}_{{X}}_{{X}}"
-            return f"{m}_{{X}}_{role.removeprefix('measurement_')}" if role.startswith("measurement_") else None
-        if binder == "link":
-            if role in ("demand", "demand_rev"):
-                return f"{d}_{{X}}_{{Y}}" if role == "demand" else f"{d}_{{Y}}_{{X}}"
-            numbered = re.fullmatch(r"o(\d+)(_rev)?", role)
-            if numbered and int(numbered[1]) < len(self.links):
-                a, b = ("{Y}", "{X}") if numbered[2] else ("{X}", "{Y}")
-                return f"{m}_{a}_{self.links[int(numbered[1])]}_{b}"
+        for of, shape, text in ROLE_TEMPLATES:
+            read = re.escape(shape).replace("<w>", "(?P<w>.*)").replace("<k>", r"(?P<k>\d+)")
+            if of != binder or not (m := re.fullmatch(read, role, re.S)):
+                continue
+            found = m.groupdict()
+            if "k" in found:
+                if int(found["k"]) >= len(self.links):
+                    continue
+                found["w"] = self.links[int(found["k"])]
+            for name, value in {"m": self.noisy, "d": self.demand_kind, **found}.items():
+                text = text.replace(f"<{name}>", value)
+            return text
         return None
 
     def roles(self) -> list[tuple[str, str]]:
-        out = [("cell", "self"), *(("node", f"measurement_{s}") for s in self.singles)]
-        out += [("node", "demand_self")] * self.demand
-        out += [("link", f"o{k}{end}") for k in range(len(self.links)) for end in ("", "_rev")]
-        return out + [("link", "demand"), ("link", "demand_rev")] * (self.demand and bool(self.links))
+        """The roles that the directions expose, in the order of the table; both ends of a link's directions together."""
+        out = []
+        for binder, shape, text in ROLE_TEMPLATES:
+            if "<w>" in shape:
+                out += [(binder, shape.replace("<w>", w)) for w in self.singles]
+            elif shape == "o<k>":
+                out += [(binder, f"o{k}{end}") for k in range(len(self.links)) for end in ("", "_rev")]
+            elif "<k>" not in shape and ("<d>" not in text or self.demand and (binder != "link" or self.links)):
+                out.append((binder, shape))
+        return out
 
     @staticmethod
     def predicates(binder: str, family: str) -> tuple | None:
-        """The canonical predicates of a family with a known meaning."""
-        known = {
-            "demand_row": (("source", "==", "X"), ("destination", "!=", "X")),
-            "demand_col": (("destination", "==", "X"), ("source", "!=", "X")),
-            "all_demand": (("source", "!=", "@destination"),),
-        }
-        if family in known:
-            return known[family]
-        if binder == "node" and family.startswith("fam_"):
-            return (("source", "==", "X"),)
-        return () if binder == "network" and family.startswith("all_measurement_") else None
+        """The canonical predicates of a family with a known meaning; those with a name of their own have them for any binder."""
+        for of, shape, _, found in FAMILY_PREDICATES:
+            start, open_, _ = shape.partition("<")
+            if family == shape or open_ and of == binder and family.startswith(start):
+                return found
+        return None
 
     def families(self) -> list[Family]:
-        made = [("node", "demand_row"), ("node", "demand_col"), ("network", "all_demand")] if self.demand else []
-        out = [Family(b, f, self.demand_kind, "demand", self.predicates(b, f)) for b, f in made]
-        out += [Family("node", f"fam_{d}", self.noisy, d, self.predicates("node", f"fam_{d}")) for d in self.links]
-        return out + [Family("network", f"all_measurement_{d}", self.noisy, d, ()) for d in self.singles]
+        out = []
+        for binder, shape, layer, found in FAMILY_PREDICATES:
+            start, _, which = shape.partition("<")
+            if layer == "d":
+                out += [Family(binder, shape, self.demand_kind, "demand", found)] * self.demand
+            else:
+                out += [Family(binder, start + w, self.noisy, w, found) for w in (self.links if which == "link>" else self.singles)]
+        return out
 
 
 def _names(value) -> list[str]:

@@ -102,24 +102,30 @@ def admissible(rule: Rule, g: Grammar) -> tuple[bool, str]:
 
 # Normal forms ----------------------------------------------------------------------------------------------------------
 
-_RANK = {Col: 0, Fold: 1, Times: 2, Sum: 3, Num: 4}
+#: Summands by kind, then by text; a constant stands last.
+_KINDS = (Col, Fold, Times, Sum)
+
+
+def summands(t: Term) -> tuple[float, list[Term]]:
+    """A term as a constant and what is added to it: multiples of constants are constants, a multiple by one is what it multiplies."""
+    match t:
+        case Num(value):
+            return value, []
+        case Sum(parts):
+            found = [summands(p) for p in parts]
+            return sum(c for c, _ in found), [x for _, xs in found for x in xs]
+        case Times(factor, of):
+            constant, rest = summands(of)
+            if not rest:
+                return factor * constant, []
+            return (constant, rest) if factor == 1 else (0, [Times(float(factor), normal_term(of))])
+    return 0, [t]
 
 
 def normal_term(t: Term) -> Term:
-    """Multiples of constants and by one are folded, sums flattened, their constants added up, their parts sorted."""
-    if isinstance(t, Times):
-        of = normal_term(t.of)
-        if isinstance(of, Num):
-            return Num(t.factor * of.value)
-        return of if t.factor == 1 else Times(float(t.factor), of)
-    if not isinstance(t, Sum):
-        return t
-    flat: list[Term] = []
-    for p in map(normal_term, t.parts):
-        flat += p.parts if isinstance(p, Sum) else [p]
-    constant = sum(p.value for p in flat if isinstance(p, Num))
-    parts = [p for p in flat if not isinstance(p, Num)] + ([Num(constant)] if constant else [])
-    parts.sort(key=lambda p: (_RANK[type(p)], p.text))
+    """The sorted summands; a lone one is no sum, and no summand is zero."""
+    constant, rest = summands(t)
+    parts = sorted(rest, key=lambda p: (_KINDS.index(type(p)), p.text)) + [Num(constant)] * bool(constant)
     return Sum(tuple(parts)) if len(parts) > 1 else parts[0] if parts else ZERO
 
 

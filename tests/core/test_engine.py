@@ -259,8 +259,8 @@ def test_repairs():
 def test_tokens_with_separators():
     tokens = ["NATION_1", "NATION_12", "NATION_2"]
     names = flows.Flow(tuple(tokens))
-    pairs = completeness.demand_pairs(names.columns(), "flow")
-    assert completeness.entities_of(pairs) == set(tokens)
+    pairs = completeness.Pairs.of(names.columns(), "flow")
+    assert pairs.entities == set(tokens) and pairs.ends["flow_NATION_12_NATION_1"] == ("NATION_12", "NATION_1")
     completeness.check(flows.flow_spec(tokens), names.columns())
 
 
@@ -585,3 +585,32 @@ def test_generators():
 def test_run_files():
     run = run_from_yaml("dataset:\n  name: demo  # a comment\n  path: x.parquet\nschema:\n  backend: agent\neval:\n  tolerance: 0.1\n  unknown: 3\nsearch:\n  max_complexity: 8\nseed: 7\n")
     assert (run.name, run.path, run.evaluation.tolerance, run.search.max_complexity, run.search.seed) == ("demo", "x.parquet", 0.1, 8, 7)
+
+
+@pytest.mark.parametrize(
+    ("which", "change", "says"),
+    [
+        (3, {"peer_group": ""}, "names no peer"),
+        (3, {"direction": "link"}, "that any pair could have"),
+        (0, {"regex": "^flow_(?P<source>[^_]+)_(?P<destination>n[01])$"}, "aren't read as such"),
+        (0, {"regex": "^flow_(?P<source>.)[^_]*_(?P<destination>.)[^_]*$"}, "cuts short"),
+        (0, {"node_groups": ["source"], "token_groups": []}, None),
+    ],
+)
+def test_faults_and_their_repair(which, change, says):
+    columns, raw = make_synthetic(3, 2).columns, answer()
+    raw["patterns"][which] |= change
+    found = list(map(str, completeness.faults(contract.read_spec(raw), columns)))
+    assert says is None or any(says in f for f in found), found
+    if change.get("direction") != "link":  # a direction without a meaning can't be repaired
+        before = json.dumps(raw)
+        fixed, notes = completeness.repaired(raw, columns)
+        assert completeness.faults(contract.read_spec(fixed), columns) == [] and json.dumps(raw) == before and notes
+
+
+def test_votes_for_pairs():
+    tokens = ["a_b", "a_c", "d"]
+    ends = {f"x_{s}_{d}": (s, d) for s in tokens for d in tokens}
+    assert completeness.Pairs.of([*ends, "x_", "x_one", "y_a_b"], "x").ends == ends
+    assert completeness.Pairs.of(list(ends), "x", tokens).ends == ends
+    assert completeness.Pairs.of(["x_a_", "x__b"], "x").ends == {}

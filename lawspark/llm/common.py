@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -56,24 +59,70 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or folder
 
 
+#: Saved tables by path: of the blocks of temporary() open in this thread, innermost last; and those of no block.
+_blocks = threading.local()
+_left: dict[str, SparkSession] = {}
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back. This cuts the lineage: a lost executor costs only the
-    tasks it was running, and later readers scan columns instead of computing df again."""
+    tasks it was running, and later readers scan columns instead of computing df again. The table goes at the end of the
+    innermost block of temporary(), else when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _owner()[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Deletes the files of a table from saved() that no later plan reads."""
-    spark, path = df.sparkSession, df._saved_path
+def _owner() -> dict[str, SparkSession]:
+    stack = getattr(_blocks, "stack", None)
+    return stack[-1] if stack else _left
+
+
+def _delete(path: str, spark: SparkSession) -> None:
     p = _jvm_path(spark, path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_saved(df: DataFrame) -> None:
+    """Deletes the files of a table from saved() that no later plan reads."""
+    for tables in (*getattr(_blocks, "stack", ()), _left):
+        tables.pop(df._saved_path, None)
+    _delete(df._saved_path, df.sparkSession)
+
+
+@contextmanager
+def temporary():
+    """Tables saved inside are deleted at the end, but for those given to kept()."""
+    stack = _blocks.stack = getattr(_blocks, "stack", [])
+    stack.append(tables := {})
+    try:
+        yield
+    finally:
+        stack.remove(tables)
+        for path, spark in tables.items():
+            _delete(path, spark)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A saved table that stays for the block outside, as a result reads it."""
+    spark = _blocks.stack[-1].pop(df._saved_path)
+    (_blocks.stack[-2] if len(_blocks.stack) > 1 else _left)[df._saved_path] = spark
+    return df
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes what results still read, unless Spark has ended before."""
+    for path, spark in _left.items():
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        _delete(path, spark)
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of an undirected graph: (node, component) for each node with a link, component being its
     smallest reachable node.
@@ -95,7 +144,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
         ).first()
 
-    before = state(edges)
+    before = state(edges)  # the last round's links stay: the result reads them
     if before.n == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
@@ -127,18 +176,18 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     )
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM, by the worker and once more as Python values.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 512
+#: Rows that a worker takes of an Arrow batch at a time: texts are long, and functions hold their rows as Python values as well.
+SLICE = 512
 
 
 def on_workers(module: str, function: str, **params):
-    """A function for mapInArrow that imports `function` on the worker, where what the module keeps is shared by its tasks. The
-    session's Arrow batches are cut to BATCH_ROWS rows if they are larger."""
+    """A function for mapInArrow that imports `function` on the worker, where what the module keeps is shared by its tasks."""
     root = str(Path(__file__).resolve().parents[2])
-    spark = SparkSession.getActiveSession()
-    if spark is not None and not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
-        spark.conf.set(BATCH, BATCH_ROWS)
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield batch.slice(at, SLICE)
 
     def run(batches):
         import importlib
@@ -146,7 +195,7 @@ def on_workers(module: str, function: str, **params):
 
         if root not in sys.path:
             sys.path.append(root)
-        yield from getattr(importlib.import_module(module), function)(batches, **params)
+        yield from getattr(importlib.import_module(module), function)(sliced(batches), **params)
 
     return run
 

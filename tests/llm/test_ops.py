@@ -98,8 +98,8 @@ def brute_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    n = Counter(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)
+    return sum(1 << b for b in range(64) if 2 * sum(c for x, c in n.items() if x >> b & 1) > len(shingles))
 
 
 def brute_components(names, links):
@@ -122,7 +122,7 @@ def brute_components(names, links):
 def test_op2(spark, sf, odd_dir, empty_dir):
     for folder in folders(sf, odd_dir):
         docs = docs_of(spark, folder)
-        fps = [brute_fingerprint(t) if len(t or "") < 40_000 else simhash.fingerprint(t) for _, t, _ in docs]
+        fps = [brute_fingerprint(t) for _, t, _ in docs]
         f = np.array(fps, np.uint64)
         near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 2
         comp = brute_components([d[0] for d in docs], np.argwhere(near).tolist())

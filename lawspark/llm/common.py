@@ -226,3 +226,19 @@ def stars(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndar
     if not ends:
         return left[:0], left[:0]
     return np.concatenate(ends), np.concatenate(tops)
+
+
+def bit_set(marks: DataFrame, words: int = 1 << 19) -> np.ndarray:
+    """A set of marks as bits by their last digits, of one size whatever their number: it only spares rows that a join would drop."""
+    bit = F.col("mark").bitwiseAND(words * 64 - 1)
+    word = F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("b")
+    found = marks.select(bit.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(word).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bits(marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which marks are in a set from bit_set(), and perhaps a few others."""
+    at = marks.view(np.uint64) % np.uint64(len(bits) * 64)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)

@@ -303,8 +303,7 @@ def candidate_links(sets: DataFrame, block: int = SET_BLOCK) -> DataFrame:
 def chosen(batches, bits: np.ndarray):
     """(mark, text) to (mark, sid, shingles) of the rows whose mark is in the bit set, and perhaps a few others."""
     for batch in batches:
-        marks = batch.column(0).to_numpy().view(np.uint64) % np.uint64(len(bits) * 64)
-        rows = np.flatnonzero((bits[marks >> np.uint64(6)] >> (marks & np.uint64(63))) & np.uint64(1))
+        rows = np.flatnonzero(common.in_bits(batch.column(0).to_numpy(), bits))
         sets = [set_of(batch.column(1)[k].as_py()) for k in rows.tolist()]
         ends = np.cumsum([0, *map(len, sets)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
@@ -356,22 +355,12 @@ def compared_whole(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends)), pa.array(np.concatenate(tops))], ["a", "b"])
 
 
-def bit_set(marks: DataFrame, words: int = 1 << 19) -> np.ndarray:
-    """A set of marks as bits by their last digits, of one size whatever their number: it only spares rows that a join would drop."""
-    bit = F.col("mark").bitwiseAND(words * 64 - 1)
-    word = F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("b")
-    found = marks.select(bit.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(word).toArrow()
-    bits = np.zeros(words, np.uint64)
-    bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-    return bits
-
-
 def similar_links(texts: DataFrame, sets: DataFrame, near: DataFrame, block: int = WHOLE_BLOCK) -> DataFrame:
     """texts: mark, t. sets: sid, n, mark (of one text). near: node, component of the candidates. Links (a, b) that connect exactly
     the candidates that are connected by pairs of similar sets. A group is one block, or, above `block` shingles, blocks by the
     size of its sets and by hash."""
     near = common.saved(near.select(F.col("node").alias("sid"), F.col("component").alias("grp")).join(sets.select("sid", "n", "mark"), "sid"), "near")
-    bits = bit_set(near.select("mark"))
+    bits = common.bit_set(near.select("mark"))
     whole = texts.select("mark", "t").mapInArrow(common.on_workers(__name__, "chosen", bits=bits), "mark long, sid long, shingles array<long>")
     large = near.groupBy("grp").agg((F.sum("n") > block).alias("large"))
     near = near.join(large, "grp").withColumn("size", F.when(F.col("large"), F.floor(set_tile(F.col("n")) / SET_STEPS).cast("int")).otherwise(0))

@@ -3,12 +3,14 @@
 Each URL's path becomes its segments. Segments that vary by their form (digits, hexadecimal ids, long tokens) are
 wildcards from the start. The tree is then walked from the root: a node that fans out has its rare children replaced by one
 wildcard, and other children whose share of bad pages doesn't differ from their siblings' by more than chance are
-merged into the wildcard as well. A template whose smoothed share of bad labelled pages is too high is rejected.
+merged into the wildcard as well. A template whose smoothed share of bad labelled pages is too high is rejected. The tree is as
+deep as the paths.
 
 Scale: pages are first counted by (host, path shape), combined before the shuffle, so that a hot host costs one row for each
-shape and task. The tree works on these counts only: grouped sums, and equi-joins back. Pages then fetch their verdict by
-an equi-join on (host, shape), salted so that the pages of one hot shape are dealt over many tasks.
-All comparisons are in whole numbers, so reruns and other engines agree.
+shape and task. The tree works on these counts only: grouped sums, and equi-joins back, which adaptive execution splits at a
+hot node; a level reads the shapes that go on. Pages then fetch their verdict by an equi-join on (host, shape), salted so that the
+pages of one hot shape are dealt over many tasks. Counts are whole numbers; the test of likeness multiplies them as doubles in a
+fixed order, so that nothing overflows, and reruns and other engines agree.
 """
 
 from __future__ import annotations
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Levels of the SQL counterpart alone; the query goes as deep as the paths.
-DEPTH = 4
 #: Of a node with at least this many children, those with fewer than this many pages become one wildcard.
 FAN_OUT, RARE = 20, 3
 #: Children differ from their siblings when |difference of bad shares| is over Z standard errors, squared here.
@@ -65,32 +65,44 @@ def shape_of(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
+def alike(g: Column, b: Column, ng: Column, nb: Column) -> Column:
+    """Whether a child's share of bad pages (g good, b bad) differs from its siblings' (with it ng, nb) by chance alone:
+    (b/n - o/m)^2 <= Z2 * q(1-q)(1/n + 1/m), q being the share of all. Times n^2 m^2 (n + m), so nothing is divided."""
+    n, m = (g + b).cast("double"), (ng + nb - g - b).cast("double")
+    gap = b * m - (nb - b) * n
+    return (n == 0) | (m == 0) | (gap * gap * (n + m) <= Z2 * nb.cast("double") * ng.cast("double") * n * m)
+
+
 def template_tree(counts: DataFrame) -> DataFrame:
     """counts: host, shape (array of segments), pages, good, bad. Returns host, shape, template, t_good, t_bad: the template that
-    each shape ends in, with the template's labelled pages. There are as many levels as the longest shape has segments."""
-    tree = counts.withColumn("template", F.lit(""))
-    for d in range(counts.agg(F.max(F.size("shape"))).first()[0] or 0):
-        tree = tree.withColumn("seg", F.coalesce(F.get("shape", F.lit(d)), F.lit("")))
-        child = tree.groupBy("host", "template", "seg").agg(F.sum("pages").alias("p"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        node = child.where("seg <> ''").groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("g").alias("ng"), F.sum("b").alias("nb")
-        )
-        n, m = F.col("g") + F.col("b"), F.col("ng") + F.col("nb") - F.col("g") - F.col("b")
-        other_bad = F.col("nb") - F.col("b")
-        # (b/n - o/m)^2 <= Z2 * q(1-q)(1/n + 1/m), q pooled; times n^2 m^2 (n+m): nothing is divided
-        left = F.pow(F.col("b") * m - other_bad * n, F.lit(2)) * (n + m)
-        whole = [c.cast("decimal(38,0)") for c in (F.col("nb"), F.col("ng"), n, m)]  # a long overflows from some 64,000 labels
-        right = Z2 * whole[0] * whole[1] * whole[2] * whole[3]
-        alike = (n == 0) | (m == 0) | (left.cast("double") <= right.cast("double"))
-        rare = (F.col("kids") >= FAN_OUT) & (F.col("p") < RARE)
-        merged = F.when(F.col("seg") == "", F.lit("")).when((F.col("seg") == "*") | rare | (F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
-        step = child.join(node, ["host", "template"], "left").select("host", "template", "seg", merged.alias("to"))
-        tree = tree.join(step, ["host", "template", "seg"]).withColumn(
-            "template", F.when(F.col("to") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))
-        ).drop("seg", "to")
-        tree = common.saved(tree, "level")  # else each level's plan would hold the one before several times
-    ends = tree.groupBy("host", "template").agg(F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
-    return tree.join(ends, ["host", "template"]).select("host", "shape", "template", "t_good", "t_bad")
+    each shape ends in, with the template's labelled pages."""
+    names = ["host", "shape", "template", "good", "bad"]
+    with common.temporary():
+        tree = common.saved(counts.withColumn("template", F.lit("")), "level")
+        done, d = [tree.where(F.size("shape") == 0).select(*names)], 0
+        while not (tree := tree.where(F.size("shape") > d)).isEmpty():
+            tree = tree.withColumn("seg", F.get("shape", F.lit(d)))
+            child = tree.groupBy("host", "template", "seg").agg(F.sum("pages").alias("p"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
+            child = common.saved(child, "children")
+            node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("g").alias("ng"), F.sum("b").alias("nb"))
+            rare = (F.col("kids") >= FAN_OUT) & (F.col("p") < RARE)
+            merged = (F.col("seg") == "*") | rare | (F.col("kids") > 1) & alike(*map(F.col, ("g", "b", "ng", "nb")))
+            step = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(merged, "*").otherwise(F.col("seg")).alias("to"))
+            tree = tree.join(step, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to")).drop("seg", "to")
+            tree, d = common.saved(tree, "level"), d + 1
+            done.append(tree.where(F.size("shape") == d).select(*names))
+            if len(done) > 16:
+                done = [common.saved(union(done), "ends")]
+        ends = common.kept(common.saved(union(done), "ends"))
+    sums = ends.groupBy("host", "template").agg(F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
+    return ends.join(sums, ["host", "template"]).select("host", "shape", "template", "t_good", "t_bad")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
 
 
 def bad_template(good: Column, bad: Column) -> Column:
@@ -113,8 +125,8 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad"))
     )
-    counts = common.saved(counts, "shapes")
-    tree = common.saved(template_tree(counts), "templates")
+    with common.temporary():
+        tree = common.kept(common.saved(template_tree(counts), "templates"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     tree = tree.select("host", "shape", "template", F.when(bad_template(F.col("t_good"), F.col("t_bad")), "block").otherwise("allow").alias("by_tree"), salts)
     return (
@@ -132,19 +144,6 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
-def _level(d: int) -> str:
-    """Level d of the tree in SQL: children, nodes, what children become, and the pages' next templates."""
-    return f"""
-c{d} AS (SELECT host, t, s{d} AS seg, count(*) AS p, count(*) FILTER (NOT bad) AS g, count(*) FILTER (bad) AS b FROM l{d} GROUP BY ALL),
-n{d} AS (SELECT host, t, count(*) AS kids, sum(p) AS np, sum(g) AS ng, sum(b) AS nb FROM c{d} WHERE seg <> '' GROUP BY ALL),
-x{d} AS (
-  SELECT c.host, c.t, c.seg, CASE WHEN seg = '' THEN '' WHEN seg = '*' OR (kids >= {FAN_OUT} AND np < kids * {RARE}) OR (kids > 1 AND (
-    g + b = 0 OR ng + nb - g - b = 0 OR CAST(pow(b * (ng + nb - g - b) - (nb - b) * (g + b), 2) * (ng + nb) AS DOUBLE)
-      <= CAST({Z2} * nb * ng * (g + b) * (ng + nb - g - b) AS DOUBLE))) THEN '*' ELSE seg END AS next
-  FROM c{d} c LEFT JOIN n{d} n ON c.host = n.host AND c.t = n.t),
-l{d + 1} AS (SELECT l.* REPLACE (CASE WHEN next = '' THEN l.t ELSE l.t || '/' || next END AS t) FROM l{d} l JOIN x{d} x ON l.host = x.host AND l.t = x.t AND l.s{d} = x.seg)"""
-
-
 def _rules_sql(what: int) -> str:
     cases = " ".join(
         f"WHEN (l.host = '{h}' OR ends_with(l.host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[what]}'"
@@ -154,15 +153,26 @@ def _rules_sql(what: int) -> str:
 
 
 OP7_SQL = rf"""
-WITH m AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
+WITH RECURSIVE m AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
 u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{common.UPPER}', '{common.LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-w AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END) AS segs FROM u),
-l0 AS (SELECT w.page_id, host, path, bad, '' AS t, {", ".join(f"coalesce(segs[{d + 1}], '') AS s{d}" for d in range(DEPTH))} FROM w LEFT JOIN m ON w.page_id = m.page_id),
-{",".join(map(_level, range(DEPTH)))},
-e AS (SELECT host, t, count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad FROM l{DEPTH} GROUP BY ALL)
+w AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END) AS shape FROM u),
+c AS (SELECT host, shape, count(*) AS pages, count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad FROM w LEFT JOIN m ON w.page_id = m.page_id GROUP BY ALL),
+tree AS (
+  SELECT host, shape, '' AS t, 0 AS d, pages, good, bad FROM c
+  UNION ALL
+  SELECT host, shape, t || '/' || CASE WHEN seg = '*' OR (kids >= {FAN_OUT} AND p < {RARE}) OR (kids > 1 AND (n = 0 OR m = 0 OR
+      (b * m - (nb - b) * n) * (b * m - (nb - b) * n) * (n + m) <= {Z2} * nb * ng * n * m)) THEN '*' ELSE seg END, d + 1, pages, good, bad
+  FROM (SELECT *, g + b AS n, ng + nb - g - b AS m FROM (
+    SELECT *, sum(one) OVER (PARTITION BY host, t) AS kids FROM (
+      SELECT *, shape[d + 1] AS seg, sum(pages) OVER (PARTITION BY host, t, shape[d + 1]) AS p,
+        CAST(sum(good) OVER (PARTITION BY host, t, shape[d + 1]) AS DOUBLE) AS g, CAST(sum(bad) OVER (PARTITION BY host, t, shape[d + 1]) AS DOUBLE) AS b,
+        CAST(sum(good) OVER (PARTITION BY host, t) AS DOUBLE) AS ng, CAST(sum(bad) OVER (PARTITION BY host, t) AS DOUBLE) AS nb,
+        CASE WHEN row_number() OVER (PARTITION BY host, t, shape[d + 1]) = 1 THEN 1 ELSE 0 END AS one
+      FROM tree WHERE d < len(shape))))),
+l AS (SELECT host, shape, t, sum(good) OVER (PARTITION BY host, t) AS good, sum(bad) OVER (PARTITION BY host, t) AS bad FROM tree WHERE d = len(shape))
 SELECT page_id, l.host, path, {_rules_sql(0)} AS rule,
-  coalesce({_rules_sql(1)}, CASE WHEN e.bad * 100 + {PRIOR_PAGES * PRIOR_PERCENT} > (good + e.bad + {PRIOR_PAGES}) * {MAX_BAD_PERCENT} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce({_rules_sql(1)}, CASE WHEN l.bad * 100 + {PRIOR_PAGES * PRIOR_PERCENT} > (good + l.bad + {PRIOR_PAGES}) * {MAX_BAD_PERCENT} THEN 'block' ELSE 'allow' END) AS verdict,
   l.t AS template
-FROM l{DEPTH} l JOIN e ON l.host = e.host AND l.t = e.t"""
+FROM w JOIN l ON w.host = l.host AND w.shape = l.shape"""

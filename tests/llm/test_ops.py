@@ -389,50 +389,39 @@ def brute_rule(host, path):
 
 
 def brute_tree(pages, bad):
-    """The tree in plain Python: shape of every page, then level by level."""
-    from types import SimpleNamespace as NS
-
+    """The tree in plain Python, level by level down to the last segment of every path."""
     rows = []
     for page_id, url in pages:
         host, path = brute_url(url)
-        segs = ["*" if re.search(urls.VARIABLE, s) else s for s in path.split("/") if s][: urls.DEPTH]
-        rows.append(NS(id=page_id, host=host, segs=segs + [""] * (urls.DEPTH - len(segs)), t="", bad=bad.get(page_id)))
-    for d in range(urls.DEPTH):
-        child = defaultdict(lambda: [0, 0, 0])
-        for r in rows:
-            c = child[(r.host, r.t, r.segs[d])]
-            c[0] += 1
-            c[1] += r.bad is False
-            c[2] += r.bad is True
-        node = defaultdict(lambda: [0, 0, 0, 0])
-        for (h, t, s), (p, g, b) in child.items():
-            if s:
-                for k, x in enumerate((1, p, g, b)):
-                    node[(h, t)][k] += x
-        for r in rows:
-            s = r.segs[d]
-            if not s:
-                continue
-            kids, np_, ng, nb = node[(r.host, r.t)]
-            p, g, b = child[(r.host, r.t, s)]
-            n, m, o = g + b, ng + nb - g - b, nb - b
-            alike = n == 0 or m == 0 or (b * m - o * n) ** 2 * (n + m) <= urls.Z2 * nb * ng * n * m
-            many = kids >= urls.FAN_OUT and np_ < kids * urls.RARE
-            r.next = r.t + "/" + ("*" if s == "*" or many or kids > 1 and alike else s)
-        for r in rows:
-            if r.segs[d]:
-                r.t = r.next
+        segs = ["*" if re.search(urls.VARIABLE, s) else s for s in path.split("/") if s]
+        rows.append([host, "", segs, bad.get(page_id)])
+    for d in range(max((len(r[2]) for r in rows), default=0)):
+        kids = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        on = [r for r in rows if len(r[2]) > d]
+        for host, t, segs, b in on:
+            for k, x in enumerate((1, b is False, b is True)):
+                kids[host, t][segs[d]][k] += x
+        for r in on:
+            of, s = kids[r[0], r[1]], r[2][d]
+            p, g, b = of[s]
+            n, m = g + b, sum(x[1] + x[2] for x in of.values()) - g - b
+            ng, nb = sum(x[1] for x in of.values()), sum(x[2] for x in of.values())
+            same = not n or not m or (b * m - (nb - b) * n) ** 2 * (n + m) <= urls.Z2 * nb * ng * n * m
+            rare = len(of) >= urls.FAN_OUT and p < urls.RARE
+            r.append("*" if s == "*" or rare or len(of) > 1 and same else s)
+        for r in on:
+            r[1] += "/" + r.pop()
     ends = defaultdict(lambda: [0, 0])
-    for r in rows:
-        if r.bad is not None:
-            ends[(r.host, r.t)][r.bad] += 1
+    for host, t, _, b in rows:
+        if b is not None:
+            ends[host, t][b] += 1
     out = Counter()
-    for r, (page_id, url) in zip(rows, pages):
-        host, path = brute_url(url)
+    for (host, t, _, _), (page_id, url) in zip(rows, pages):
+        path = brute_url(url)[1]
         rule, verdict = brute_rule(host, path)
-        good, wrong = ends[(r.host, r.t)]
+        good, wrong = ends[host, t]
         block = wrong * 100 + urls.PRIOR_PAGES * urls.PRIOR_PERCENT > (good + wrong + urls.PRIOR_PAGES) * urls.MAX_BAD_PERCENT
-        out[(page_id, host, path, rule, verdict or ("block" if block else "allow"), r.t)] += 1
+        out[(page_id, host, path, rule, verdict or ("block" if block else "allow"), t)] += 1
     return out
 
 

@@ -4,11 +4,15 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from lawspark.llm import mixing, quotes
 from tests.llm.test_ops import ODD, WORD, brute_base
 from tests.llm.test_similar_texts import brute_stay
+from tests.llm.test_sql import same
 
 KIND = "conv_id long, turn long, role string, text string, body string, size int"
 
@@ -44,7 +48,7 @@ def test_links(spark):
     assert out[1, 5].n_linked == 0 and out[2, 1].n_linked == 0 and out[2, 2].n_linked == 0
     assert out[1, 1].body == "Monday is fine." and out[1, 3].body == "Ten it is." and out[1, 0].body == TALK[0][3]
     assert {k: r.branch for k, r in out.items() if k[0] == 1} == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 3, (1, 4): 3, (1, 5): 3}
-    assert out[1, 4].reply_path == "0000000000/0000000003" and out[1, 0].size == 1
+    assert (out[1, 4].branch, out[1, 4].top, out[1, 4].depth, out[1, 4].place) == (3, 0, 1, 4) and out[1, 0].size == 1
 
 
 def test_odd_messages(spark):
@@ -62,19 +66,125 @@ def test_deep_branches_and_blocks(spark, monkeypatch):
     for t in range(1, 20):
         rows.append((1, t, "a", f"> line {max(0, t - 3)}\nline {t}" if t % 3 == 0 else f"line {t}"))
     out = {r.turn: r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    branch, parent = {}, {}
-    for t in range(20):
-        to = t - 3 if t and t % 3 == 0 else t - 1 if t else None
-        assert out[t].reply_to == to
-        branch[t] = t if to is None or to != t - 1 else branch[t - 1]
-        if branch[t] == t:
-            parent[t] = None if to is None else branch[to]
-        assert out[t].branch == branch[t]
-        path, b = [], branch[t]
-        while b is not None:
-            path.append(f"{b:010d}")
-            b = parent[b]
-        assert out[t].reply_path == "/".join(reversed(path))
+    assert {t: (r.reply_to, r.branch, r.top, r.depth, r.place) for t, r in out.items()} == {t: w[1:] for (_, t), w in brute_order({(1, t): r.reply_to for t, r in out.items()}).items()}
+    assert out[19].depth == 6
+
+
+def brute_order(replies):
+    """(conv, turn) to reply_to to (conv, reply_to, branch, top, depth, place), by walking the branches."""
+    out, kids = {}, defaultdict(list)
+    for c, t in sorted(replies):
+        to = replies[c, t]
+        branch = t if to is None or to != t - 1 else out[c, t - 1][2]
+        top = out[c, branch][3] if branch != t else None if to is None else out[c, to][2]
+        out[c, t] = [c, to, branch, top]
+        if branch == t:
+            kids[c, top].append(t)
+    for c in {c for c, _ in out}:
+        todo, place = [(b, 0) for b in reversed(kids[c, None])], 0
+        while todo:
+            b, depth = todo.pop()
+            t = b
+            while (c, t) in out and out[c, t][2] == b:
+                out[c, t] += [depth, place]
+                place, t = place + 1, t + 1
+            todo += [(k, depth + 1) for k in reversed(kids[c, b])]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def brute_links(rows):
+    """rows: conv, turn, text. (conv, turn) to (n_quotes, n_linked, reply_to) of each row, by comparing every quote with every earlier text."""
+
+    def norm(x):
+        return " ".join(re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)))
+
+    said, quoted = defaultdict(set), []
+    for conv, turn, text in rows:
+        runs, all_own = [], []
+        lines = []
+        for x in (text or "").split("\n"):
+            k = 0
+            rest = x[:3].lstrip(" \t") + x[3:] if x[:3].lstrip(" \t")[:1] == ">" or x[:4].lstrip(" \t")[:1] == ">" else x
+            while rest[:1] == ">":
+                k += 1
+                rest = rest[1:]
+                rest = rest[1:] if rest[:1] in (" ", "\t") else rest
+            lines.append((k, rest))
+        for j, (k, x) in enumerate(lines):
+            low = norm(x)
+            head = k == 0 and (low.endswith(" wrote:") or low.endswith(" said:")) and len(low) < 90
+            nxt = [y for y in lines[j + 1 : j + 3] if y[0] or norm(y[1])]
+            if head and nxt and nxt[0][0]:
+                runs.append(None)
+            elif not low:
+                runs.append(None)
+            elif runs and runs[-1] and runs[-1][0] == k:
+                runs[-1][1].append(low)
+            else:
+                runs.append((k, [low]))
+        for r in filter(None, runs):
+            if not r[0]:
+                said[conv, turn] |= {" ".join(r[1]), *r[1]}
+                all_own += r[1]
+        said[conv, turn].add(" ".join(all_own))
+        quoted.append([r for r in runs if r and r[0]])
+    out = []
+    for (conv, turn, _), quotes_ in zip(rows, quoted):
+        origins = []
+        for k, ls in quotes_:
+            looks = [" ".join(ls), *sorted(ls, key=len, reverse=True)]
+            first = next((min(ts) for x in looks if x and (ts := [t for (c, t), ss in said.items() if c == conv and t < turn and x in ss])), None)
+            origins.append((k, first))
+        linked_ = [t for _, t in origins if t is not None]
+        by_quote = max((t for k, t in origins if k == 1 and t is not None), default=None)
+        back = turn - 1 if any(c == conv and t == turn - 1 for c, t, _ in rows) else None
+        out.append((conv, turn, len(origins), len(linked_), by_quote if by_quote is not None else back))
+    return out
+
+
+def threads(seed):
+    """Mail threads: replies that quote earlier messages whole, in part, nested, trimmed and edited, with gaps and repeated turns."""
+    rng, rows = np.random.default_rng(seed), []
+    start = {0: 0, 1: -7, 2: 20_000_000_000, 3: 5, 4: 1, 5: 1000}
+    for conv in range(6):
+        texts, turn = [], start[conv]
+        for _ in range(25):
+            own = [" ".join(f"W{x}" for x in rng.integers(300, size=rng.integers(1, 9))) for _ in range(int(rng.choice([1, 3, 6, 50], p=[0.3, 0.4, 0.25, 0.05])))]
+            if rng.random() < 0.3:
+                own.insert(len(own) // 2, "")
+            lines = []
+            for _ in range(int(rng.integers(0, 3)) if texts else 0):
+                src = texts[int(rng.integers(max(0, len(texts) - 8), len(texts)))].split("\n")
+                cut = src[: int(rng.integers(1, len(src) + 1))] if rng.random() < 0.5 else src
+                cut = [x.lower() + "  " if rng.random() < 0.2 else x + " edited" if rng.random() < 0.2 else x for x in cut]
+                lines += [*(["On Monday, somebody wrote:"] if rng.random() < 0.5 else []), *("> " + x if rng.random() < 0.8 else " >" + x for x in cut), *([""] if rng.random() < 0.5 else [])]
+            text = "\n".join([*lines, *own])
+            texts.append(text)
+            rows.append((conv, turn, text))
+            if rng.random() < 0.1:
+                rows.append(rows[-1] if rng.random() < 0.5 else (conv, turn, "> " + own[0] + "\nsame turn"))
+            turn += 1 if rng.random() < 0.92 else 3
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_threads(spark, monkeypatch, seed):
+    """Every link, branch and place against brute force, and the SQL against both."""
+    monkeypatch.setattr(quotes, "TURNS", 8)
+    rows = threads(seed)
+    out = quotes.linked(spark.createDataFrame([(c, t, "r", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    links = brute_links(rows)
+    assert Counter((r.conv_id, r.turn, r.n_quotes, r.n_linked, r.reply_to) for r in out) == Counter(links)
+    assert sum(n[3] for n in links) > 50
+    to = {}
+    for c, t, _, _, x in links:
+        to[c, t] = max((y for y in (to.get((c, t)), x) if y is not None), default=None)
+    order = brute_order(to)
+    assert all((r.branch, r.top, r.depth, r.place) == order[r.conv_id, r.turn][2:] for r in out)
+    assert max(r.depth for r in out) > 2
+    db = duckdb.connect()
+    db.register("conversations", pd.DataFrame([(c, t, "r", x) for c, t, x in rows], columns=["conv_id", "turn", "role", "text"]))
+    same(pd.DataFrame([r.asDict() for r in out]).drop(columns="text"), db.execute(quotes.OP8_SQL).df())
 
 
 def test_op8_keeps_all_messages(spark, sf):

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lawspark.llm.queries import ORACLE_SQL, QUERIES
@@ -15,7 +16,7 @@ def same(got, want):
     names = sorted(got.columns)
 
     def rows(df):
-        return Counter(tuple(None if v is None or v != v else v for v in r) for r in df[names].astype(object).itertuples(index=False, name=None))
+        return Counter(tuple(None if pd.isna(v) else v for v in r) for r in df[names].astype(object).itertuples(index=False, name=None))
 
     assert rows(got) == rows(want)
 

@@ -6,8 +6,9 @@ left for a source, so that its total is met. Slot x of a source reads the block
 source's block numbers gives for x, a new permutation each time round; blocks and slots are joined by source and number.
 
 Scale: a document's place in its source is a prefix sum over (source, hash bucket), so a hot source is summed and sorted by
-many tasks. The draws are a table of SHARDS rows for each source on the driver; slots are made on the executors in bounded
-chunks. Slots and blocks meet in an equi-join on (source, block), uniform by construction.
+many tasks; rows that are equal throughout are one row with a count there. The driver holds a number for each source, and of the
+draws what isn't zero: at most SHARDS rows a source; slots are made on the executors in bounded chunks. Slots and blocks meet in
+an equi-join on (source, block), uniform by construction.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -25,7 +27,8 @@ MOST_TIMES = 3
 BLOCK = 64
 SHARDS = 64
 SEED = 1234
-BUCKETS = 1024
+#: Hash buckets of a source, and rows of all of them together for each bucket at most on average.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 17
 #: Slots that one row of the plan stands for at most.
 CHUNK = 1 << 15
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -77,20 +80,20 @@ def permuted(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Slots of each shard (row) that each source (column) fills: multinomial draws by what is left of the quotas. What a draw
-    gives a source beyond its rest is drawn again among the others."""
+def draw(quotas: list[int], shards: int, seed: int):
+    """Yields for each shard the sources that fill slots of it, how many, and how many they have filled before: multinomial draws by
+    what is left of the quotas. What a draw gives a source beyond its rest is drawn again among the others."""
     left = np.array(quotas, np.int64)
-    total, rng = int(left.sum()), np.random.default_rng(seed)
-    out = np.zeros((shards, len(quotas)), np.int64)
+    full, total, rng = left.copy(), int(left.sum()), np.random.default_rng(seed)
     for j in range(shards):
-        need = total // shards + (j < total % shards)
+        need, before = total // shards + (j < total % shards), full - left
         while need:
             got = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[j] += got
             left -= got
             need -= int(got.sum())
-    return out
+        n = full - left - before
+        some = np.flatnonzero(n)
+        yield some, n[some], before[some]
 
 
 def key_of(source: int, epoch: int, seed: int) -> int:
@@ -134,29 +137,38 @@ def positions(docs: DataFrame, text: str, source: str, keep: tuple[str, ...] = (
         F.col(source).cast("string").alias("_name"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         *hashes(docs),
-    ).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    rows = common.saved(rows, "sizes")
-    sums = rows.groupBy("_name", "_bucket").agg(F.sum("_size").alias("n"))
-    sums = common.saved(sums, "sums")  # BUCKETS rows a source
-    found = [(r[0], r[1]) for r in sums.groupBy("_name").agg(F.sum("n")).collect()]
+    )
+    rows = common.saved(rows.groupBy(*keep, "_name", "_size", "_h", "_h2").agg(F.count(F.lit(1)).alias("_copies")), "sizes")
+    buckets = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    rows = rows.withColumns({"_bucket": F.pmod("_h", F.lit(buckets)).cast("int"), "_all": F.col("_size") * F.col("_copies")})
+    sums = rows.groupBy("_name", "_bucket").agg(F.sum("_all").alias("n"))
+    sums = common.saved(sums, "sums")  # at most as many rows a source as there are buckets
+    found = [(r[0], r[1]) for r in sums.groupBy("_name").agg(F.sum("n")).collect()]  # a row for each source
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sids = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(found)], "_source string, _sid int")
-    numbered = F.broadcast(sids), F.col("_name").eqNullSafe(F.col("_source"))
+    numbered = sids, F.col("_name").eqNullSafe(F.col("_source"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("_name").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = sums.withColumn("_base", before).join(*numbered).select("_sid", "_bucket", "_base")
-    own = F.coalesce(F.sum("_size").over(W.partitionBy("_sid", "_bucket").orderBy("_h", "_h2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("_all").over(W.partitionBy("_sid", "_bucket").orderBy("_h", "_h2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = (
         rows.join(*numbered)
         .withColumn("_at", own)
         .join(base.hint("merge"), ["_sid", "_bucket"])
-        .select(*keep, "_h", "_h2", "_size", "_sid", (F.col("_at") + F.col("_base")).alias("_at"), F.monotonically_increasing_id().alias("_rid"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+        .select(*keep, "_h", "_h2", "_size", "_sid", (F.col("_at") + F.col("_base") + F.col("_copy") * F.col("_size")).alias("_at"), F.monotonically_increasing_id().alias("_rid"))
     )
     return common.saved(rows, "placed"), found
 
 
+def _has_map(kind) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def hashes(docs: DataFrame) -> list:
-    """96 bits that tell rows apart."""
-    names = [f"`{c}`" for c in sorted(docs.columns)]
+    """96 bits that tell rows apart. Spark doesn't hash maps: columns that hold some are hashed as JSON."""
+    names = [f"`{f.name}`" if not _has_map(f.dataType) else F.to_json(F.struct(f"`{f.name}`")) for f in sorted(docs.schema, key=lambda f: f.name)]
     return [F.xxhash64(*names).alias("_h"), F.hash(*names).alias("_h2")]
 
 
@@ -166,13 +178,10 @@ def mixed(placed: DataFrame, sources: list[tuple[str | None, int]], block: int =
     spark = placed.sparkSession
     goal = targets([n for _, n in sources])
     quotas = [quota(n, t, block, k, seed) for k, ((_, n), t) in enumerate(zip(sources, goal))]
-    counts = draw(quotas, shards, seed) if sum(quotas) else np.zeros((shards, len(sources)), np.int64)
-    first = np.cumsum(counts, axis=0) - counts
-    plan = [
-        (k, j, -(-sources[k][1] // block), int(first[j, k]), int(first[j, k] + counts[j, k]))
-        for j in range(shards) for k in range(len(sources)) if counts[j, k]
-    ]
-    plan = spark.createDataFrame(plan, "sid int, shard int, n long, first long, last long")
+    size = np.array([-(-n // block) for _, n in sources], np.int64)
+    plan = [(some.astype(np.int32), np.full(len(some), j, np.int32), size[some], before, before + n) for j, (some, n, before) in enumerate(draw(quotas, shards, seed))]
+    plan = pa.table([np.concatenate(c) for c in zip(*plan)], ["sid", "shard", "n", "first", "last"])
+    plan = spark.createDataFrame(plan)
     plan = plan.withColumn("first", F.explode(F.sequence("first", F.col("last") - 1, F.lit(CHUNK)))).withColumn("last", F.least(F.col("first") + CHUNK, "last"))
     slots = plan.repartition(F.xxhash64("sid", "shard", "first")).mapInArrow(
         common.on_workers(__name__, "slotted", seed=seed), "sid int, shard int, epoch int, block long"
@@ -196,12 +205,14 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     A null text has size 0 and is never taken; a null source is a source, the last. Repeated rows are documents like any
     other. An empty table gives no rows. Other columns are ignored.
     """
-    placed, sources = positions(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")), "t", "s", ("k",))
+    with common.temporary():
+        placed, sources = positions(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")), "t", "s", ("k",))
+        common.kept(placed)
     rows, goal = mixed(placed, sources)
     of = docs.sparkSession.createDataFrame([(k, n, t) for k, ((_, n), t) in enumerate(zip(sources, goal))], "_sid int, source_size long, target double")
     taken = rows.groupBy("_rid").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     return (
-        placed.select("_rid", "k", "_size", "_sid").join(taken, "_rid", "left").join(F.broadcast(of), "_sid")
+        placed.select("_rid", "k", "_size", "_sid").join(taken, "_rid", "left").join(of, "_sid")
         .select(F.col("k").alias(key), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
@@ -230,20 +241,24 @@ def cut(batches, names: list[str], text: str):
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
     """The mix as documents, with the columns of docs (n_chars follows the text): a document that a round takes as a whole comes
-    back whole, else in runs of neighbouring blocks. Documents without words don't come back. Otherwise as mix_report."""
+    back whole, else in runs of neighbouring blocks. Documents without words don't come back. Columns of any name and kind stay.
+    Otherwise as mix_report."""
     names = docs.columns
-    placed, sources = positions(docs, text, source)
-    rows, _ = mixed(placed, sources, block)
-    order = W.partitionBy("_rid", "epoch").orderBy("block")
-    runs = (
-        rows.withColumn("_run", F.col("block") - F.row_number().over(order))
-        .groupBy("_rid", "epoch", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .join(placed.select("_rid", "_h", "_h2", "_size"), "_rid")
-        .groupBy("_h", "_h2").agg(F.max("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("epoch", "first", "last"))).alias("_runs"))
-    )  # at most MOST_TIMES times a document's blocks; rows equal in all columns share theirs, and are met once
+    with common.temporary():
+        placed, sources = positions(docs, text, source)
+        rows, _ = mixed(placed, sources, block)
+        order = W.partitionBy("_rid", "epoch").orderBy("block")
+        runs = (
+            rows.withColumn("_run", F.col("block") - F.row_number().over(order))
+            .groupBy("_rid", "epoch", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            .groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("epoch", "first", "last"))).alias("_runs"))  # at most MOST_TIMES times a document's blocks
+            .join(placed.select("_rid", "_h", "_h2", "_size"), "_rid").select("_h", "_h2", "_size", "_runs")
+        )
+        runs = common.kept(common.saved(runs, "runs"))
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
     own = common.fresh(names, "_h", "_h2", "_size", "_runs")
-    whole = docs.select(*(f"`{n}`" for n in names), *(c.alias(n) for c, n in zip(hashes(docs), own))).join(runs.toDF(*own), own[:2]).dropDuplicates(own[:2])
+    whole = docs.select(*(f"`{n}`" for n in names), *(c.alias(n) for c, n in zip(hashes(docs), own)))
+    whole = whole.dropDuplicates(own[:2]).join(runs.toDF(*own), own[:2])
     return whole.select(*(f"`{n}`" for n in names), *own[2:]).mapInArrow(common.on_workers(__name__, "cut", names=names, text=text), schema)
 
 

@@ -8,7 +8,8 @@ their length in the order of their rank.
 
 Scale: the driver sees only the histogram (at most CAPACITY rows) and its plan is broadcast with a bound that depends on
 CAPACITY alone. Ranks within a length are prefix sums over hash buckets, so a length that a third of all pieces share is
-ranked by many tasks.
+ranked by many tasks; pieces that are equal throughout are one with a count there. A piece finds its place by a hash join on its
+length and the cell of its rank, of which each holds a few of the plan's rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-BUCKETS = 256
+#: Pieces of a hash bucket, and cells of the ranks of a length.
+BUCKET_PIECES, CELLS = 1 << 16, 64
 #: Texts longer than this are tokenised in parts, cut where two letters have a space between them.
 PART = 1 << 18
 
@@ -161,32 +163,33 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("key", "piece", "start", "ids_crc32")) -> DataFrame:
-    """pieces (a saved table with a column length) plus sequence_id and offset."""
+    """pieces (a saved table with a column length, all others in order) plus sequence_id and offset."""
     spark = pieces.sparkSession
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")
-    pieces = pieces.withColumn("_bucket", bucket)
-    counts = common.saved(pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")  # <= capacity * BUCKETS rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    rows, first, taken = [], 0, {}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
+    by, first, taken = {}, 0, {}
     for times, items in plan(histogram, capacity):
         at = 0
         for n in sorted(items, reverse=True):
             k, rank = items[n], taken.get(n, 0)
-            rows.append((n, rank, rank + k * times, k, first, at))
+            by.setdefault(n, []).append((rank, rank + k * times, k, first, at))
             taken[n] = rank + k * times
             at += k * n
         first += times
-    slots = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "_length long, _from long, _to long, _each long, _first long, _at long")
+    step = {n: -(-histogram[n] // min(CELLS, len(rows))) for n, rows in by.items()}
+    slots = [(n, c, *r) for n, rows in by.items() for r in rows for c in range(r[0] // step[n], (r[1] - 1) // step[n] + 1)]
+    slots = spark.createDataFrame(slots, "_length long, _cell long, _from long, _to long, _each long, _first long, _at long")  # plan's rows + capacity * CELLS at most
+    sizes = spark.createDataFrame([(n, -(-histogram[n] // BUCKET_PIECES), step[n]) for n in by], "length long, _buckets long, _step long")
+    pieces = pieces.groupBy("length", *order).agg(F.count(F.lit(1)).alias("_copies")).join(F.broadcast(sizes), "length")
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), "_buckets"))
+    counts = common.saved(pieces.groupBy("length", "_bucket").agg(F.sum("_copies").alias("n")), "lengths")
     base = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("length", "_bucket", base.alias("_base"))
-    ranked = pieces.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*order)) - 1)
-    ranked = ranked.join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    place = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return (
-        ranked.join(F.broadcast(slots), place)
-        .withColumn("sequence_id", F.expr("_first + (_rank - _from) div _each"))
-        .withColumn("offset", F.expr("_at + (_rank - _from) % _each * length"))
-        .drop("_bucket", "_base", "_rank", "_length", "_from", "_to", "_each", "_first", "_at")
+    before = F.sum("_copies").over(W.partitionBy("length", "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_copies")
+    ranked = pieces.withColumn("_before", before).join(base, ["length", "_bucket"]).withColumn("_low", F.col("_before") + F.col("_base"))
+    ranked = ranked.withColumn("_rank", F.explode(F.sequence("_low", F.col("_low") + F.col("_copies") - 1)))
+    place = (F.col("length") == F.col("_length")) & (F.expr("_rank div _step") == F.col("_cell")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    return ranked.join(F.broadcast(slots), place).select(
+        *order, "length", F.expr("_first + (_rank - _from) div _each").alias("sequence_id"), F.expr("_at + (_rank - _from) % _each * length").alias("offset")
     )
 
 

@@ -7,7 +7,8 @@ keys first, then the overflow in ring order, so that a key moves only when its o
 Scale: rows meet the ring by a hash join on the top bits of their hash with a table of at most `2**ring_bits + shards *
 vnodes` arc pieces, which is broadcast because that bound doesn't depend on the data. Counts per arc piece (the same bound)
 are all that the driver sees. Ranks are taken inside arc pieces, thousands of groups of equal expected size whatever the
-sources or texts. Two scans, one shuffle of (id, size, checksum) rows, no Python on executors.
+sources or texts; equal rows, which share a place on the ring, are one row with a count there. Two scans, shuffles of
+(id, size, checksum) rows, no Python on executors.
 """
 
 from __future__ import annotations
@@ -95,32 +96,37 @@ def bounded_ring(
     vnodes: int = VNODES,
     load: float | None = None,
     ring_bits: int = RING_BITS,
+    copies: str | None = None,
 ) -> DataFrame:
     """rows plus home_shard (by the plain ring), shard and slot (gapless from 0 in each shard).
 
     key_hash: the 64-bit ring position of a row; order_by: columns that rank rows inside a piece of the ring after the
-    position. Rows equal in all of them are exchangeable. Null or repeated keys are rows like any other.
+    position. Rows equal in all of them are exchangeable. copies: a column that says how many rows a row stands for (it goes);
+    rows that are equal throughout should be counted so before, as a piece of the ring is sorted by one task. Null or repeated
+    keys are rows like any other; an empty table gives no rows; columns of rows keep their values whatever their names, but for
+    those named home_shard, shard and slot, which are replaced.
     """
     spark = rows.sparkSession
     pieces = arc_pieces(spark, shards, vnodes, ring_bits)
+    names = [c for c in rows.columns if c not in ("home_shard", "shard", "slot", copies)]
+    (out,) = common.fresh(names, "_placed")
     low_bucket = 1 << (ring_bits - 1)
+    position = F.struct(key_hash.alias("hash"), F.struct(*order_by).alias("order"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"))
     placed = (
-        rows.withColumn("_hash", key_hash)
-        .withColumn("_bucket", (F.shiftright("_hash", 64 - ring_bits) + low_bucket).cast("int"))
-        .join(F.broadcast(pieces), (F.col("_bucket") == F.col("bucket")) & F.col("_hash").between(F.col("low"), F.col("high")))
-        .drop("bucket", "_bucket", "low", "high")
+        rows.select(F.struct(*(f"`{c}`" for c in names)).alias("row"), position.alias("at"))
+        .select("row", "at.*").withColumn("_bucket", (F.shiftright("hash", 64 - ring_bits) + low_bucket).cast("int"))
+        .join(F.broadcast(pieces), (F.col("_bucket") == F.col("bucket")) & F.col("hash").between(F.col("low"), F.col("high")))
     )
-    found = {r["piece"]: r["n"] for r in placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= pieces
+    found = {r["piece"]: r["n"] for r in placed.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # <= pieces
     ring = [(r["piece"], r["home"], found.get(r["piece"], 0)) for r in pieces.orderBy("piece").collect()]
     plan = settle(ring, capacities(sum(found.values()), shards, load))
     plan = spark.createDataFrame(plan, "_piece int, _from long, _to long, shard int, _slot long")  # <= pieces + shards * pieces with overflow
-    rank = F.row_number().over(W.partitionBy("piece").orderBy("_hash", *order_by)) - 1
+    before = F.sum("n").over(W.partitionBy("piece").orderBy("hash", "order").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    ranked = placed.withColumn("first", before).select("row", "home", "piece", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
+    place = F.struct(F.col("home").alias("home_shard"), F.col("shard"), (F.col("_slot") + F.col("rank") - F.col("_from")).alias("slot"))
     return (
-        placed.withColumn("_rank", rank)
-        .join(F.broadcast(plan), (F.col("piece") == F.col("_piece")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-        .withColumnRenamed("home", "home_shard")
-        .drop("_hash", "_piece", "piece", "_rank", "_from", "_to", "_slot")
+        ranked.join(F.broadcast(plan), (F.col("piece") == F.col("_piece")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
+        .select("row.*", place.alias(out)).select(*(f"`{c}`" for c in names), f"`{out}`.*")
     )
 
 
@@ -136,8 +142,9 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
+    docs = docs.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("none"), "text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-    out = bounded_ring(docs, key, ["doc_id", "text_crc32", "size"])
+    out = bounded_ring(docs, key, ["doc_id", "text_crc32", "size"], copies="copies")
     return out.select(
         "doc_id",
         "size",

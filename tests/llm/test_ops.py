@@ -216,6 +216,33 @@ def test_mix_documents(spark, sf):
     assert sum(taken.values()) == pytest.approx(sum(want.values()), rel=0.01)
 
 
+def test_mix_of_repeated_rows_and_maps(spark):
+    """Rows that are equal throughout are documents each; columns of maps and of clashing names stay."""
+    rows = [(7, " ".join(f"w{k}" for k in range(300)), "a", {"x": 1}, "own")] * 200 + [(k, f"t{k} " * (k % 90), "b" if k % 3 else None, {"x": k}, "own") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, _h string")
+    out = mixing.mix_documents(df, block=32)
+    assert out.schema == df.schema
+    got, taken = out.collect(), defaultdict(int)
+    for r in got:
+        assert r._h == "own" and (r.m == {"x": 1} if r.doc_id == 7 and len(r.text) > 400 else True)
+        taken[r.source] += len(WORD.findall(r.text))
+    sizes = Counter()
+    for _, t, s, *_ in rows:
+        sizes[s] += len(WORD.findall(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for s, goal in zip(order, mixing.targets([sizes[s] for s in order])):
+        assert abs(taken[s] - goal) <= 32
+    report = mixing.mix_report(df).collect()
+    assert len(report) == 500 and all(r.taken <= 3 * r["size"] for r in report) and multiset(report) == multiset(mixing.mix_report(df.repartition(7)).collect())
+
+
+def test_many_sources(spark):
+    """As many sources as documents: draws hold what isn't zero."""
+    rows = [(k, "a b c d e " * 20, f"s{k}") for k in range(3000)]
+    report = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(report) == 3000 and sum(r.taken for r in report) == pytest.approx(300_000, rel=0.3) and all(r.taken <= 300 for r in report)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -245,6 +272,21 @@ def test_ring_moves_little(spark, sf):
     assert moved < 0.35 * 4000
 
 
+def test_ring_on_odd_rows(spark):
+    """Columns named like its own keep their values; equal rows of a null key, counted before or not, fill shards alike."""
+    from pyspark.sql import functions as F
+
+    names = ["low", "high", "piece", "home", "bucket", "hash", "row", "rank", "n", "shard", "_placed"]
+    rows = spark.createDataFrame([(None if k < 700 else k, *("own" for _ in names)) for k in range(1000)], "k long, " + ", ".join(f"{n} string" for n in names))
+    out = sharding.bounded_ring(rows, F.xxhash64("k"), ["k"]).collect()
+    assert Counter(r.shard for r in out) == {s: 42 if s < 16 else 41 for s in range(24)} and all(r[n] == "own" for r in out for n in names if n != "shard")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    other = sharding.bounded_ring(counted, F.xxhash64("k"), ["k"], copies="c")
+    assert other.columns == ["k", "home_shard", "shard", "slot"]
+    assert multiset(other.collect()) == multiset((r.k, r.home_shard, r.shard, r.slot) for r in out)
+    assert sharding.bounded_ring(rows.limit(0), F.xxhash64("k"), ["k"]).count() == 0
+
+
 def test_settle_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):

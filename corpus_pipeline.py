@@ -56,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. A stage's tables are deleted when the next has read them; the last stage's stay until the
+    driver's Python ends, as the result reads them."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.saved(docs, "stage")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with common.temporary():
+            new = common.kept(common.saved(stage(spark, docs, sf_dir), "stage"))
+        if k:
+            common.drop_saved(docs)
+        docs = new

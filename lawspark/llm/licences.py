@@ -78,6 +78,82 @@ TEMPLATES = [
     ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
     ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be "
+        "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+        "bsd",
+    ),
+    (
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but "
+        "not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+        "the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "bsd",
+    ),
+    (
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this "
+        "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a "
+        "product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must "
+        "be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or "
+        "altered from any source distribution",
+        "zlib",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license the software to use reproduce display distribute execute and transmit the software and "
+        "to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+        "bsl-1.0",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
+        "or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial "
+        "and by any means",
+        "unlicense",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 2 of the license or at your option any later version",
+        "gpl-2.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "agpl-3.0",
+    ),
+    (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "cc0-1.0",
+    ),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl"),
+    (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "epl",
+    ),
 ]
 # End of fixed values.
 
@@ -199,7 +275,24 @@ class Scanner:
             before = i
         if n >= self.shortest:
             runs.append((before + 1, n, state))
-        return places, self.chain(runs)
+        return places, self.best(self.chain(runs))
+
+    def best(self, spans: list[tuple[int, int, int, int]]):
+        """Without the spans that share over half of their words with one that covers more of its template: licences that differ in
+        a version number or a name match each other's notices for the rest. Chains of one template never overlap, so each span
+        is held against as many as there are templates at most."""
+        lost, open_ = set(), []
+        for j, (first, end, k, covered) in enumerate(spans):
+            open_ = [i for i in open_ if spans[i][1] > first]
+            for i in open_:
+                shared, other = min(end, spans[i][1]) - first, spans[i]
+                mine, its = covered * self.lengths[other[2]], other[3] * self.lengths[k]
+                if mine > its and 2 * shared > other[1] - other[0]:
+                    lost.add(i)
+                elif mine < its and 2 * shared > end - first:
+                    lost.add(j)
+            open_.append(j)
+        return [x for j, x in enumerate(spans) if j not in lost]
 
     def chain(self, runs: list[tuple[int, int, int]]):
         """runs: (end word, length, state), in order. Chains each template's runs while the file's gap is small and the
@@ -266,7 +359,8 @@ def scanned(batches):
 def licence_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, plus n_words, n_base, first_word, last_word (null without a place), base_labels, labels (empty
     strings without any), score (best share of a template or phrase covered) and spans (word ranges with label and words
-    covered). A null text counts as empty. Each row is scanned by itself; columns of docs with these names are replaced."""
+    covered). A null text counts as empty. Each row is scanned by itself, repeated ones too; an empty table gives no rows; columns
+    of docs with these names are replaced, others stay."""
     names = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"}
     keys = [c for c in docs.columns if c != text and c not in names]
     rows = docs.select(*(f"`{c}`" for c in keys), f"`{text}`")

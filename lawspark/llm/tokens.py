@@ -97,7 +97,8 @@ def counted(batches, path: str, chunk: int, overlap: int):
 
 def token_counts(docs: DataFrame, text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs without its text, plus n_bytes, n_tokens, n_chunks and n_widened. A null text counts as empty: no bytes, no
-    tokens. Every row is counted by itself, repeated ones too. Other columns pass through; those four names are replaced."""
+    tokens. Every row is counted by itself, repeated ones too; an empty table gives no rows. Other columns pass through; those four
+    names are replaced."""
     keys = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "n_chunks", "n_widened")]
     rows = docs.select(*(f"`{c}`" for c in keys), f"`{text}`")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["n_bytes long, n_tokens long, n_chunks long, n_widened long"])

@@ -273,3 +273,27 @@ def test_modules_swallow_no_import_errors():
 
     for f in [*Path("lawspark/llm").glob("*.py"), Path("corpus_pipeline.py")]:
         assert not re.search(r"except\s+(ImportError|ModuleNotFoundError|Exception)", f.read_text())
+
+
+def test_saved_tables_go(spark, sf):
+    """Of an operator's tables only those that its result reads stay; of a pipeline run those of its last stages."""
+    from pathlib import Path
+
+    from lawspark.llm import common
+    from lawspark.llm.queries import QUERIES
+
+    top = Path(common.shared_dir(spark).removeprefix("file://"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, most in [("op2_simhash", 2), ("op3_mixing", 1), ("op7_url_templates", 1), ("op8_quotations", 4), ("op9_near_vectors", 2)]:
+        before = set(top.iterdir())
+        QUERIES[name](spark, sf).count()
+        assert len(set(top.iterdir()) - before) <= most, (name, set(top.iterdir()) - before)
+    before = set(top.iterdir())
+    corpus_pipeline.run(spark, sf).count()
+    left = sorted(p.name.split("-")[0] for p in set(top.iterdir()) - before)
+    assert left == ["lengths", "pieces", "stage"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    with pytest.raises(ValueError), common.temporary():
+        table = common.saved(spark.range(3), "gone")
+        raise ValueError
+    assert not Path(table._saved_path.removeprefix("file://")).exists()

@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.measures import SLACK, violation
+from ..saved import saved, temporary
 
 BUCKETS = 4096
+#: Slices of slices: 4096^5 of them are finer than the numbers.
+MOST_ROUNDS = 5
 
 
 @dataclass(frozen=True)
@@ -62,38 +65,45 @@ def fit(op: str, rho: np.ndarray, scale: np.ndarray, holdout: float, seed: int)
 
 
 def knee_of(values: DataFrame, column: str = "v", buckets: int = BUCKETS) -> DataFrame:
-    """One row (n, core, eps, coverage) for the non-null values of a column.
+    """One row (n, core, eps, coverage) for the finite values of a column.
 
-    No global sort: values are counted by equal slices of their range, with each slice's ends. A gap is widest either between
-    slices, where these ends show it, or inside one; a gap inside can't exceed the slice, so only slices as wide as the best
-    gap between slices are sorted, one partition each.
+    No sort of more than `buckets` rows: values are counted by equal slices of their range, with each slice's ends. A gap is widest
+    either between slices, where these ends show it, or inside one; a gap inside can't exceed the slice's span, so only slices whose
+    span reaches the best gap so far are sliced again. Some gap is as wide as the range over the number of values, so a few rounds
+    settle any table, and a slice that holds nearly all values costs another round, not a task.
     """
-    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    span = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / buckets
-    sliced = v.join(F.broadcast(span)).select(
-        "v", F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(0).alias("slice")
-    )
-    inner = F.lead("v").over(W.partitionBy("slice").orderBy("v")) - F.col("v")
-    within = sliced.withColumn("gap", inner).groupBy("slice").agg(F.max(F.struct("gap", (-F.col("v")).alias("at"))).alias("g"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # at most `buckets` rows from here on
-    between = within.withColumn("jump", F.lead("lo").over(W.orderBy("slice")) - F.col("hi"))
-    cuts = between.select(F.explode(F.array(F.struct(F.col("g.gap").alias("gap"), F.col("g.at").alias("at")), F.struct(F.col("jump").alias("gap"), (-F.col("hi")).alias("at")))).alias("c"))
-    best = cuts.where("c.gap > 0").agg(F.max("c").alias("c"))
-    total = within.agg(F.sum("n").alias("n"), F.max("hi").alias("top"))
-    found = total.join(best).select("n", F.coalesce(-F.col("c.at"), F.col("top")).alias("eps"))
-    core = v.join(F.broadcast(found)).where(F.col("v") <= F.col("eps")).agg(F.count("v").alias("core"))
-    return found.join(core).select("n", "core", "eps", F.coalesce(F.try_divide(F.col("core").cast("double"), F.col("n")), F.lit(0.0)).alias("coverage"))
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    span = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    spark, best, at = values.sparkSession, 0.0, span["hi"]
+    rows, wide = v.withColumn("id", F.lit(0).cast("long")), spark.createDataFrame([(0, span["lo"], span["hi"])], "id long, lo double, hi double")
+    with temporary():
+        for _ in range(MOST_ROUNDS if span["n"] and span["lo"] < span["hi"] else 0):
+            width = F.col("hi") / buckets - F.col("lo") / buckets
+            slice_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(buckets - 1))
+            rows = rows.join(wide, "id").select("v", "id", slice_.cast("long").alias("slice"))
+            slices = saved(rows.groupBy("id", "slice").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "slices")
+            gap = F.lead("lo").over(W.partitionBy("id").orderBy("slice")) - F.col("hi")  # at most `buckets` rows an id
+            top = slices.withColumn("gap", gap).where("gap > 0").agg(F.max(F.struct("gap", (-F.col("hi")).alias("at"))).alias("c")).first()["c"]
+            if top is not None and (top["gap"], top["at"]) > (best, -at):
+                best, at = top["gap"], -top["at"]
+            inside = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") >= best)
+            wide = saved(slices.where(inside).select((F.col("id") * buckets + F.col("slice")).alias("id"), "lo", "hi"), "wide")
+            if wide.isEmpty():
+                break
+            rows = rows.select("v", (F.col("id") * buckets + F.col("slice")).alias("id"))
+    core = v.where(F.col("v") <= F.lit(at)).count() if span["n"] else 0
+    coverage = core / span["n"] if span["n"] else 0.0
+    return spark.createDataFrame([(span["n"], core, at, coverage)], "n long, core long, eps double, coverage double")
 
 
 def fit_on(points: DataFrame, op: str, rho: Column, scale: Column, calibrate: Column) -> DataFrame:
     """One row (eps, cov_cal, cov_eval, n_eval, k_eval, coverage): the knee of the points that `calibrate` marks, its coverage on
     them and on the others."""
     rows = points.select(violation(op, rho, scale).alias("v"), calibrate.alias("cal"))
-    edge = knee_of(rows.where("cal")).select("eps", "coverage")
+    edge = knee_of(rows.where("cal")).first()
     inside = F.col("v") <= F.col("eps") + SLACK
     return (
-        rows.join(F.broadcast(edge))
+        rows.withColumns({"eps": F.lit(edge["eps"]).cast("double"), "coverage": F.lit(edge["coverage"])})
         .groupBy("eps", "coverage")
         .agg(
             F.count_if("cal").alias("n_cal"), F.count_if(F.col("cal") & inside).alias("k_cal"),

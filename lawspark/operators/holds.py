@@ -4,7 +4,7 @@ Rules that compare the same two sides share a pair; a pair's statistics answer a
 point is inlined into one row for each pair, and Spark sums these by pair before the shuffle, so what moves is a row for each
 pair and task. Only pairs with a positive scale below a millionth of their largest need the median that floors the scale (it
 can't matter otherwise); only accepted laws need the median residual of the description length. Both come from
-exact_quantiles, in bounded memory.
+quantiles_of, in bounded memory.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation
 from ..functions import measures
-from ..functions.terms import term
+from ..functions.terms import term, term_text
 from ..plans import logic
 from ..plans.names import leaves_of
 from ..plans.rules import Rule, Term
 from ..sources.frames import TIME, Dataset
 from .points import BINDING, leaf_names, long_points, wide_points
-from .quantiles import exact_quantiles
+from .quantiles import quantiles_of, values_at
 
 #: The scale's floor as a share of the median scale, and texts of verdicts.
 FLOOR = 1e-6
@@ -34,6 +34,9 @@ BELOW = "hold-rate Wilson lower bound below threshold"
 STATISTIC = "hold_rate"
 # End of fixed values.
 
+#: Hashes of points: whole numbers that a double holds.
+SEED, HASHES = 7919, 1 << 52
+
 #: Bindings whose leaves read more columns than this take the long route.
 WIDE_LIMIT = 20_000
 
@@ -100,22 +103,34 @@ def scale_of(left: Column, right: Column) -> Column:
     return F.greatest(F.abs(left), F.abs(right))
 
 
-def subsampled(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """n points by the order of their hashes, or all if there are fewer; the same on every run."""
-    return points.orderBy(F.xxhash64(TIME, BINDING, F.lit(seed))).limit(n) if n else points
+def pair_cells(points: DataFrame, pairs: Sequence[Pair], names: dict[Term, str], some: Sequence[int], floors: dict[int, float] | None = None) -> DataFrame:
+    """(h, k, a, b, floor): both sides of those pairs at each point where their difference and scale are finite, and a hash of the point."""
+    leaf = lambda x: f"`{names[x]}`"
+    cells = (f"named_struct('k', {k}, 'a', {term_text(pairs[k].left, leaf)}, 'b', {term_text(pairs[k].right, leaf)}, 'floor', double('{(floors or {}).get(k, 0.0)!r}'))" for k in some)
+    rows = points.selectExpr(f"pmod(xxhash64(`{TIME}`, `{BINDING}`, {SEED}), {HASHES}) AS h", f"inline(array({', '.join(cells)}))")
+    a, b = F.col("a"), F.col("b")
+    return rows.where(measures.finite(a - b) & measures.finite(scale_of(a, b)))
+
+
+def subsampled(cells: DataFrame, n: int, seed: int) -> DataFrame:
+    """n points of each pair by the order of their hashes, or all if there are fewer; the same on every run. The n-th hash of each pair
+    is found by counting, so no pair's points are sorted."""
+    if not n:
+        return cells
+    cells = cells.withColumn("h", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(HASHES)))
+    last = values_at(cells.select("k", F.col("h").cast("double").alias("v")), lambda _, size: [n - 1] if size > n else [])
+    if not last:
+        return cells
+    last = cells.sparkSession.createDataFrame([(k, int(h)) for (k, _), h in last.items()], "k int, last long")  # a row for each pair
+    return cells.join(F.broadcast(last), "k", "left").where("last is null or h <= last").drop("last")
 
 
 def pair_statistics(points: DataFrame, pairs: Sequence[Pair], names: dict[Term, str], cfg: Evaluation, floors: dict[int, float] | None = None) -> dict[int, dict]:
     """The sums of each pair over its finite points, by the pair's number; only pairs in floors if these are given."""
     some = list(range(len(pairs))) if floors is None else sorted(floors)
-    sides = pair_columns([pairs[k] for k in some], names)
-    cells = [
-        F.struct(F.lit(k).alias("pair"), a.alias("a"), b.alias("b"), F.lit(float((floors or {}).get(k, 0.0))).alias("floor"))
-        for k, (a, b) in zip(some, sides)
-    ]
-    rows = points.select(F.inline(F.array(*cells)))
+    rows = subsampled(pair_cells(points, pairs, names, some, floors), cfg.subsample, cfg.seed)
     a, b = F.col("a"), F.col("b")
-    rows = rows.withColumns({"rho": a - b, "s0": scale_of(a, b)}).where(measures.finite(F.col("rho")) & measures.finite(F.col("s0")))
+    rows = rows.select(F.col("k").alias("pair"), "a", "b", "floor", (a - b).alias("rho"), scale_of(a, b).alias("s0"))
     rows = rows.withColumn("s", F.greatest("s0", "floor"))
     rel = F.when(F.col("s") == 0, F.lit(0.0)).otherwise(F.try_divide("rho", "s"))
     least = F.greatest(F.col("s"), F.lit(1.0)) * cfg.presence_tolerance
@@ -150,8 +165,7 @@ class Judge:
     def points(self, binder: str, leaves: Sequence[Term]) -> DataFrame:
         reads = sum(len(self.data.names.leaf(binder, x, b)) for b in self.data.names.bindings(binder) for x in leaves)
         wide = self.route == "wide" or self.route == "auto" and reads <= WIDE_LIMIT
-        made = (wide_points if wide else long_points)(self.data, binder, leaves)
-        return subsampled(made, self.cfg.subsample, self.cfg.seed)
+        return (wide_points if wide else long_points)(self.data, binder, leaves)
 
     def judge(self, rules: Iterable[Rule]) -> list[Verdict]:
         """A verdict for each rule, in their order."""
@@ -189,9 +203,9 @@ class Judge:
             stats = pair_statistics(points, pairs, names, self.cfg)
             low = [k for k, s in stats.items() if s["min_scale"] is not None and s["min_scale"] < FLOOR * s["max_scale"]]
             if low:
-                sides = dict(zip(low, pair_columns([pairs[k] for k in low], names)))
-                positive = {str(k): F.when(measures.finite(a - b) & measures.finite(scale_of(a, b)) & (scale_of(a, b) > 0), scale_of(a, b)) for k, (a, b) in sides.items()}
-                floors = {int(k): FLOOR * m for k, m in exact_quantiles(points, positive).items() if m is not None}
+                cells = subsampled(pair_cells(points, pairs, names, low), self.cfg.subsample, self.cfg.seed)
+                scales = cells.select("k", scale_of(F.col("a"), F.col("b")).alias("v")).where("v > 0")
+                floors = {k: FLOOR * m for k, m in quantiles_of(scales).items()}
                 stats |= pair_statistics(points, pairs, names, self.cfg, floors)
                 for k, f in floors.items():
                     stats[k]["floor"] = f
@@ -204,8 +218,7 @@ class Judge:
             verdicts[k] = Verdict(**{**v.__dict__, "mdl_gain": measures.description_gain(rules[k].complexity, v.eps, half)})
         return verdicts
 
-    @staticmethod
-    def _medians(points: DataFrame, pairs: list[Pair], names: dict, stats: dict[int, dict], wanted: set[int]) -> dict[int, float]:
+    def _medians(self, points: DataFrame, pairs: list[Pair], names: dict, stats: dict[int, dict], wanted: set[int]) -> dict[int, float]:
         """Median relative residual of pairs. Where all of them lie beyond the ends that the description length cuts at, either
         end is as good as the median."""
         out, open_ = {}, []
@@ -218,12 +231,11 @@ class Judge:
             else:
                 open_.append(k)
         if open_:
-            columns = {}
-            for k, (a, b) in zip(open_, pair_columns([pairs[k] for k in open_], names)):
-                s = F.greatest(scale_of(a, b), F.lit(stats[k].get("floor", 0.0)))
-                rel = F.when(s == 0, F.lit(0.0)).otherwise(F.try_divide(F.abs(a - b), s))
-                columns[str(k)] = F.when(measures.finite(a - b) & measures.finite(scale_of(a, b)), rel)
-            out |= {int(k): v for k, v in exact_quantiles(points, columns).items()}
+            floors = {k: stats[k].get("floor", 0.0) for k in open_}
+            cells = subsampled(pair_cells(points, pairs, names, open_, floors), self.cfg.subsample, self.cfg.seed)
+            a, b = F.col("a"), F.col("b")
+            s = F.greatest(scale_of(a, b), "floor")
+            out |= quantiles_of(cells.select("k", F.when(s == 0, F.lit(0.0)).otherwise(F.try_divide(F.abs(a - b), s)).alias("v")))
         return out
 
     def _verdict(self, rule: Rule, s: dict | None, scope: tuple[int, int]) -> Verdict:

@@ -56,19 +56,18 @@ def points_of_cells(cells: DataFrame, names: Names, binder: str, leaves: Sequenc
     or, with fill, what its columns give when absent values are fill. Points without any value come up only with fill."""
     spark = cells.sparkSession
     links = leaf_map(names, binder, leaves)
-    wanted = spark.createDataFrame(links, f"{BINDING} int, leaf int, column string")
     sizes = Counter((k, j) for k, j, _ in links)
-    counts = spark.createDataFrame([(*kj, n) for kj, n in sizes.items()], f"{BINDING} int, leaf int, size int")
+    wanted = spark.createDataFrame([(*link, sizes[link[:2]]) for link in links], f"{BINDING} int, leaf int, column string, size int")
     if fill is not None:
-        # every snapshot with every leaf's columns: metadata times snapshots
-        grid = cells.select(TIME).distinct().join(F.broadcast(wanted))
-        found = grid.join(cells, [TIME, "column"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
-    else:
-        found = cells.join(F.broadcast(wanted), "column")
-    sums = found.groupBy(TIME, BINDING, "leaf").agg(
+        # what is asked for comes up with each snapshot, as the definition of fill says: an array of columns for each
+        columns = F.array(*map(F.lit, sorted({c for *_, c in links})))
+        grid = cells.select(TIME).distinct().select(TIME, F.explode(columns).alias("column"))
+        cells = grid.join(cells, [TIME, "column"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+    found = cells.join(wanted, "column")  # metadata: broadcast while it is small
+    sums = found.groupBy(TIME, BINDING, "leaf", "size").agg(
         F.sum("value").alias("SUM"), F.min("value").alias("MIN"), F.max("value").alias("MAX"), F.avg("value").alias("AVG"), F.count("value").alias("n")
     )
-    sums = sums.join(F.broadcast(counts), [BINDING, "leaf"]).where("n = size")
+    sums = sums.where("n = size")
     picks = []
     for j, x in enumerate(leaves):
         kind = "SUM" if isinstance(x, Col) else x.kind

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ from .plans.portfolio import STRENGTH, Portfolio
 from .plans.rules import ZERO, Col, Fold, Num, Rule, Sum, Term, Times
 from .plans.spec import Spec, compile_spec
 from .recover import Harness, portfolio_relations
+from .saved import saved, temporary
 from .sources import flows
 from .sources.frames import Dataset, dataset, decoded
 from .sources.synth import make_null, make_synthetic, planted, synthetic_frame
@@ -87,9 +87,8 @@ ALL_CTES = ",".join((FLOWS, NODE, LINK, NETWORK))
 
 
 def region_data(spark: SparkSession, sf_dir: str) -> Dataset:
-    df = flows.snapshots(spark, sf_dir, "region")
-    # a row a month: kept, since each binder and pass reads it and the joins behind it are large
-    return dataset(df.persist(StorageLevel.MEMORY_AND_DISK), compile_spec(flows.flow_spec(flows.places(spark, sf_dir, "region"))), "regions", "t")
+    # a row a month: saved, since each binder and pass reads it, must see the same sums, and the joins behind it are large
+    return dataset(saved(flows.snapshots(spark, sf_dir, "region"), "snapshots"), compile_spec(flows.flow_spec(flows.places(spark, sf_dir, "region"))), "regions", "t")
 
 
 def dollars(c: Column, digits: int = 6) -> Column:
@@ -328,7 +327,8 @@ def _hold_rows(spark: SparkSession, verdicts: list[Verdict]) -> DataFrame:
 
 def _hold_query(name: str, doc: str, rules: list[Rule], cfg: Evaluation = CFG) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _hold_rows(spark, Judge(region_data(spark, sf_dir), cfg).judge(rules))
+        with temporary():
+            return _hold_rows(spark, Judge(region_data(spark, sf_dir), cfg).judge(rules))
 
     run.__name__, run.__doc__ = name, doc
     query(f"WITH {ALL_CTES} " + " UNION ALL ".join(sql_verdict(r, cfg) for r in rules))(run)
@@ -475,8 +475,9 @@ def rule_dedup(spark, sf_dir):
 def discover_flows(spark, sf_dir):
     """The whole discovery on the regions' snapshots."""
     tokens = flows.places(spark, sf_dir, "region")
-    result = discover_dataframe(flows.snapshots(spark, sf_dir), spec=flows.flow_spec(tokens), name="regions", timestamp="t")
-    return verdict_frame(spark, result.portfolio)
+    with temporary():
+        result = discover_dataframe(saved(flows.snapshots(spark, sf_dir), "snapshots"), spec=flows.flow_spec(tokens), name="regions", timestamp="t")
+        return verdict_frame(spark, result.portfolio)
 
 
 # Bands -----------------------------------------------------------------------------------------------------------------------
@@ -576,7 +577,7 @@ PROFILE = FLOWS + "," + CELLS
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions' snapshots as telemetry: record cells whose observed value is after tax and whose clean value is before it."""
-    wide = flows.snapshots(spark, sf_dir, "region").persist(StorageLevel.MEMORY_AND_DISK)
+    wide = saved(flows.snapshots(spark, sf_dir, "region"), "snapshots")
     tokens = flows.places(spark, sf_dir, "region")
     names = flows.Flow(tuple(tokens))
 
@@ -740,4 +741,5 @@ def profile_invariants(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one law on the regions' snapshots, with its hold-rate and interval."""
-    return verdict_frame(spark, Judge(region_data(spark, sf_dir)).judge([ROW_LAW]))
+    with temporary():
+        return verdict_frame(spark, Judge(region_data(spark, sf_dir)).judge([ROW_LAW]))

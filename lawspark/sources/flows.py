@@ -31,23 +31,25 @@ def places(spark: SparkSession, sf_dir: str, level: str) -> list[str]:
 def flow_cells(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
     """(t, s, d, v, g, q): month, places, revenue before and after tax, quantity.
 
-    Items are summed by order's customer and supplier before places are joined: the small tables meet the sums, and the join of
-    orders and items is the only one that shuffles large tables.
+    Places are joined to the small side of each pair first, suppliers' to items and customers' to orders: where they are small
+    they are broadcast and items are shuffled once, for their orders; however large they are, items are shuffled twice. Sums are
+    combined before the last, small shuffle.
     """
     where = read(spark, sf_dir, "nation")
     if level == "region":
-        where = where.join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        where = where.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     where = where.select("n_nationkey", F.col(LEVELS[level]).alias("place"))
     customers = read(spark, sf_dir, "customer").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("place").alias("s"))
     suppliers = read(spark, sf_dir, "supplier").join(F.broadcast(where), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("place").alias("d"))
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    orders = read(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.date_trunc("month", "o_orderdate").alias("t"), "s")
+    items = (
+        read(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select("l_orderkey", "d", net.alias("net"), (net * (1 + F.col("l_tax"))).alias("gross"), F.col("l_quantity").alias("quantity"))
+    )
     return (
-        read(spark, sf_dir, "lineitem")
-        .join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.date_trunc("month", "o_orderdate").alias("t"), "s", "d")
-        .agg(F.sum(net).alias("v"), F.sum(net * (1 + F.col("l_tax"))).alias("g"), F.sum("l_quantity").alias("q"))
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("t", "s", "d").agg(F.sum("net").alias("v"), F.sum("gross").alias("g"), F.sum("quantity").alias("q"))
     )
 
 
@@ -86,9 +88,8 @@ def snapshots(spark: SparkSession, sf_dir: str, level: str = "region", fill: flo
     rest, accordingly. One pivot with known values: a grouped sum, no second pass for the names."""
     names = Flow(tuple(places(spark, sf_dir, level)))
     keys = [f"{s}→{d}" for s, d in names.pairs()]
-    wide = flow_cells(spark, sf_dir, level).groupBy("t").pivot("k", keys) if False else (
-        flow_cells(spark, sf_dir, level).withColumn("k", F.concat("s", F.lit("→"), "d")).groupBy("t").pivot("k", keys).agg(F.sum("v").alias("v"), F.sum("g").alias("g"))
-    )
+    cells = flow_cells(spark, sf_dir, level).withColumn("k", F.concat("s", F.lit("→"), "d"))
+    wide = cells.groupBy("t").pivot("k", keys).agg(F.sum("v").alias("v"), F.sum("g").alias("g"))
 
     def cell(s: str, d: str, what: str):
         c = F.col(f"`{s}→{d}_{what}`")

@@ -614,3 +614,17 @@ def test_votes_for_pairs():
     assert completeness.Pairs.of([*ends, "x_", "x_one", "y_a_b"], "x").ends == ends
     assert completeness.Pairs.of(list(ends), "x", tokens).ends == ends
     assert completeness.Pairs.of(["x_a_", "x__b"], "x").ends == {}
+
+
+def test_subsampling_takes_each_rules_finite_points(spark):
+    """Half of one side is null: rules with it have the cap's number of finite points nevertheless."""
+    data = make_synthetic(3, 60, 0.02, 0)
+    matrix = data.matrix.copy()
+    matrix[:30, data.columns.index("measurement_n0_source")] = np.nan
+    table = dataset_from_matrix(spark, data.columns, matrix, SCHEMA, "half")
+    rules = [Rule("node", Col("measurement_source"), ">=", ZERO), Rule("node", Col("measurement_destination"), ">=", ZERO), Rule("node", Col("demand_self"), ">=", ZERO)]
+    sizes = lambda n, seed=0: [v.n_points for v in Judge(table, Evaluation(subsample=n, seed=seed)).judge(rules)]
+    assert sizes(0) == [150, 180, 180] and sizes(160) == [150, 160, 160] and sizes(40) == [40, 40, 40]
+    law = Rule("node", Fold("SUM", "demand_row"), "~=", Col("measurement_source"))
+    rates = [Judge(table, Evaluation(subsample=25, seed=s, tolerance=0.01)).judge([law])[0].hold_rate for s in (1, 1, 2, 3, 4, 5)]
+    assert rates[0] == rates[1] and len(set(rates)) > 1

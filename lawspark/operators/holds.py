@@ -10,6 +10,7 @@ quantiles_of, in bounded memory.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,9 +178,11 @@ class Judge:
                 out[k] = Verdict(rule, False, TRIVIAL)
             else:
                 open_.setdefault(rule.binder, []).append(k)
-        for binder, numbers in open_.items():
-            for k, v in zip(numbers, self._binder(binder, [rules[k] for k in numbers])):
-                out[k] = v
+        with ThreadPoolExecutor(max(1, len(open_))) as pool:  # binders don't wait for each other's jobs
+            judged = pool.map(lambda binder: self._binder(binder, [rules[k] for k in open_[binder]]), open_)
+            for numbers, verdicts in zip(open_.values(), judged):
+                for k, v in zip(numbers, verdicts):
+                    out[k] = v
         return out
 
     def _binder(self, binder: str, rules: list[Rule]) -> list[Verdict]:

@@ -19,13 +19,15 @@ from .functions.terms import term as term_column
 from .operators import band, profile
 from .operators.holds import FLOOR, Judge, Pair, Verdict, pair_statistics, verdict_frame
 from .operators.points import leaf_names, long_points, points_of_cells, wide_points
-from .plans.discover import discover_dataframe
+from .induce.completeness import Pairs
+from .induce.contract import read_spec
+from .plans.discover import Discovery, discover_dataframe, run
 from .plans.grammar import enumerate_rules, grammar_of
 from .plans.names import Names
 from .plans.portfolio import STRENGTH, Portfolio
 from .plans.rules import ZERO, Col, Fold, Num, Rule, Sum, Term, Times
 from .plans.spec import Spec, compile_spec
-from .recover import Harness, portfolio_relations
+from .recover import Harness, portfolio_relations, score
 from .saved import saved, temporary
 from .sources import flows
 from .sources.frames import Dataset, dataset, decoded
@@ -167,6 +169,24 @@ def prj_parse_names(spark, sf_dir):
     return spark.createDataFrame(rows, "col string, kind string, direction string, source string, destination string, peer string")
 
 
+@query("""
+SELECT 'flow_' || a.n_name || '_' || b.n_name AS col, a.n_name AS source, b.n_name AS destination FROM nation a CROSS JOIN nation b
+UNION ALL SELECT 'measurement_' || n_name || '_source', n_name, NULL FROM nation""")
+def prj_split_names(spark, sf_dir):
+    """PRJ5, IND9, JN3: names of nations hold the separator; pair columns are parted at known tokens, which other columns name."""
+    tokens = flows.places(spark, sf_dir, "nation")
+    raw = flows.answer(tokens)
+    raw["patterns"][0] = {"name": "flow", "matcher": "split", "kind": "flow", "direction": "demand", "prefix": "flow_", "node_groups": []}
+    raw["patterns"][1]["regex"] = "^measurement_(?P<source>.+)_source$"
+    names = flows.Flow(tuple(tokens))
+    columns = [names.flow(s, d) for s, d in names.pairs()] + [names.source(x) for x in tokens]
+    pairs = Pairs.of(columns, "flow").ends  # without known tokens, by votes
+    read = Names.of(compile_spec(read_spec(raw)), columns).by_name
+    if any(pairs.get(c, (s.source, s.destination)) != (s.source, s.destination) for c, s in read.items()):
+        raise ValueError("votes and known tokens disagree")
+    return spark.createDataFrame([(c, s.source, s.destination) for c, s in read.items()], "col string, source string, destination string")
+
+
 @query(f"""
 WITH n AS ({_NAME_ROWS})
 SELECT r_name AS x, 'demand_row' AS family, col FROM region JOIN n ON kind = 'flow' AND source = r_name AND destination <> r_name
@@ -389,7 +409,8 @@ def _sql_gain(r: Rule) -> str:
 @query(f"WITH {ALL_CTES} " + " UNION ALL ".join(map(_sql_gain, _MDL_RULES)))
 def mdl_strictness(spark, sf_dir):
     """AGG3-4, AGG7, EVL1: description gain and strictness of laws."""
-    found = Judge(region_data(spark, sf_dir), CFG, median_for="all").judge(_MDL_RULES)
+    with temporary():
+        found = Judge(region_data(spark, sf_dir), CFG, median_for="all").judge(_MDL_RULES)
     return spark.createDataFrame([(v.rule.law, round(v.mdl_gain, 6), v.strictness) for v in found], "law string, gain double, strictness string")
 
 
@@ -406,35 +427,58 @@ def tolerance_sweep(spark, sf_dir):
     return one.select(F.inline(F.array(*(F.struct(F.lit(t).alias("tol"), F.col("n"), F.round(f"s{k}", 6).alias("share")) for k, t in enumerate(tols)))))
 
 
-def bounded_rules() -> list[Rule]:
-    """All rules up to complexity five of every binder but the cells'."""
-    spec = flows.flow_spec(REGIONS)
-    return [r for r in enumerate_rules(grammar_of(compile_spec(spec), 5, 2)) if r.binder != "cell"]
-
-
-ALL_RULES = bounded_rules()
-_ALL_VERDICTS = " UNION ALL ".join(
-    f"SELECT '{r.binder}' AS binder, '{r.law}' AS law, '{r.op}' AS op, {r.length} AS length, {STRENGTH[r.op]} AS strength, count(*) AS n, "
-    f"count(*) FILTER ({sql_holds(r)}) AS k FROM {sql_points(r)}"
-    for r in ALL_RULES if r.op != "<|>"
-)
-_Z = "1.959963984540054"
-_RATED = f"""
-WITH {ALL_CTES}, u AS ({_ALL_VERDICTS}),
-rated AS (SELECT *, round(greatest(0, (k / n + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(k / n * (1 - k / n) / n + {_Z} * {_Z} / (4.0 * n * n))) / (1 + {_Z} * {_Z} / n)), 9) AS lo,
-          round(k / n, 9) AS rate FROM u)"""
-
-
-def _rated(spark, sf_dir) -> DataFrame:
-    rules = [r for r in ALL_RULES if r.op != "<|>"]
-    found = Judge(region_data(spark, sf_dir), CFG).judge(rules)
+ALL_RULES = enumerate_rules(grammar_of(compile_spec(flows.flow_spec(REGIONS)), Search().max_complexity, Search().max_add_arity))
+CELL = """
+cell AS (
+  SELECT v AS self FROM c UNION ALL SELECT measurement_source FROM node UNION ALL SELECT measurement_destination FROM node
+  UNION ALL SELECT unnest([v, g]) FROM c WHERE s <> d)"""
+
+
+def rated_sql(rules: list[Rule]) -> str:
+    """CTEs up to `rated`: each rule's points and holds, its rate and the lower end of its interval. Rules that compare the same two sides
+    share a pair, whose finite points stand in long form."""
+    pairs = {}
+    for r in rules:
+        pairs.setdefault((r.binder, Pair.of(r)[0]), len(pairs))
+    sides = {}
+    for (binder, p), k in pairs.items():
+        sides.setdefault(binder, []).append(f"{{'k': {k}, 'l': CAST({sql_term(p.left)} AS DOUBLE), 'r': CAST({sql_term(p.right)} AS DOUBLE)}}")
+    cells = " UNION ALL ".join(f"SELECT unnest([{', '.join(x)}]) AS p FROM {binder}" for binder, x in sides.items())
+    table = ", ".join(f"('{r.binder}', '{r.law}', '{r.op}', {r.length}, {STRENGTH[r.op]}, {pairs[r.binder, Pair.of(r)[0]]}, {Pair.of(r)[1]})" for r in rules)
+    tol = f"{CFG.tolerance} + {measures.SLACK}"
+    z = measures.z_for_alpha(CFG.ci_alpha)
+    return f"""
+WITH {ALL_CTES}, {CELL}, cells AS ({cells}), fin AS (SELECT p.k AS i, p.l AS l, p.r AS r, greatest(abs(p.l), abs(p.r)) AS s0 FROM cells WHERE p.l IS NOT NULL AND p.r IS NOT NULL),
+fl AS (SELECT i, {FLOOR} * median(s0) FILTER (s0 > 0) AS fl FROM fin GROUP BY i),
+sc AS (SELECT i, l, r, greatest(s0, fl) AS s FROM fin JOIN fl USING (i)),
+re AS (SELECT i, CASE WHEN s = 0 THEN 0 ELSE (l - r) / s END AS rel, abs(l) > greatest(s, 1) * {CFG.presence_tolerance} AS pl, abs(r) > greatest(s, 1) * {CFG.presence_tolerance} AS pr FROM sc),
+st AS (
+  SELECT i, count(*) AS n, count(*) FILTER (abs(rel) <= {tol}) AS near, count(*) FILTER (rel <= {tol}) AS below, count(*) FILTER (-rel <= {tol}) AS above,
+         count(*) FILTER (abs(rel) > {CFG.separation_tolerance}) AS apart, count(*) FILTER (pl = pr) AS together, count(*) FILTER (pl) AS pl, count(*) FILTER (pr) AS pr FROM re GROUP BY i),
+rule(binder, law, op, length, strength, i, turned) AS (VALUES {table}),
+u AS (
+  SELECT binder, law, op, length, strength, CASE WHEN op = '<|>' AND pl IN (0, n) AND pr IN (0, n) THEN 0 ELSE coalesce(n, 0) END AS n,
+    CASE WHEN op = '<|>' THEN CASE WHEN pl IN (0, n) AND pr IN (0, n) THEN 0 ELSE together END WHEN op = '!=' THEN apart
+      WHEN op IN ('<=', '>=') THEN CASE WHEN (op = '<=') <> turned THEN below ELSE above END ELSE near END AS k
+  FROM rule LEFT JOIN st USING (i)),
+rated AS (
+  SELECT binder, law, op, length, strength, n, coalesce(k, 0) AS k, coalesce(round(k / nullif(n, 0), 9), 0) AS rate,
+    coalesce(round(greatest(0, (k / nullif(n, 0) + {z} * {z} / (2 * n) - {z} * sqrt(k / n * (1 - k / n) / n + {z} * {z} / (4.0 * n * n))) / (1 + {z} * {z} / n)), 9), 0) AS lo FROM u)"""
+
+
+_RATED = rated_sql(ALL_RULES)
+
+
+def _rated(spark, sf_dir, rules: list[Rule] = ALL_RULES) -> DataFrame:
+    with temporary():
+        found = Judge(region_data(spark, sf_dir), CFG).judge(rules)
     rows = [(v.rule.binder, v.rule.law, v.rule.op, v.rule.length, STRENGTH[v.rule.op], v.n_points, round(v.hold_rate * v.n_points), round(v.hold_rate_lo, 9), round(v.hold_rate, 9)) for v in found]
     return spark.createDataFrame(rows, "binder string, law string, op string, length int, strength int, n long, k long, lo double, rate double")
 
 
 @query(f"{_RATED} SELECT binder, law, n, k, lo, rate, lo >= {CFG.hold_rate_threshold} AS accepted FROM rated")
 def verdicts_all_rules(spark, sf_dir):
-    """EVL1-2, ENU1-5, AGG6: all rules up to a bound, judged in one aggregation a binder."""
+    """EVL1-2, ENU1-5, AGG6, CMP1-6, BND1: all rules within the default bounds, presence and cells too, judged in one aggregation a binder."""
     return _rated(spark, sf_dir).select("binder", "law", "n", "k", "lo", "rate", (F.col("lo") >= CFG.hold_rate_threshold).alias("accepted"))
 
 
@@ -449,12 +493,13 @@ def portfolio_rank(spark, sf_dir):
 @query(f"""{_RATED} SELECT binder, law, lo, length FROM rated a WHERE lo >= {CFG.hold_rate_threshold} AND NOT EXISTS (
   SELECT 1 FROM rated b WHERE b.lo >= a.lo AND b.length <= a.length AND (b.lo > a.lo OR b.length < a.length))""")
 def pareto_front(spark, sf_dir):
-    """ARC8: laws that none is as sure and as short as, and better in one: a running maximum over lengths, no self-join."""
-    rated = _rated(spark, sf_dir)
-    best = rated.groupBy("length").agg(F.max("lo").alias("top"))  # a row for each length
-    best = best.withColumn("shorter", F.max("top").over(W.orderBy("length").rowsBetween(W.unboundedPreceding, -1)))
-    kept = (F.col("lo") == F.col("top")) & (F.col("lo") > F.coalesce("shorter", F.lit(-1.0))) & (F.col("lo") >= CFG.hold_rate_threshold)
-    return rated.join(F.broadcast(best), "length").where(kept).select("binder", "law", "lo", "length")
+    """ARC8: laws that none is as sure and as short as, and better in one; the portfolio's front over all accepted laws."""
+    with temporary():
+        found = Judge(region_data(spark, sf_dir), CFG).judge(ALL_RULES)
+    archive = Portfolio()
+    archive.places.update({v.rule.identity: v for v in found if v.accepted})
+    rows = [(v.rule.binder, v.rule.law, round(v.hold_rate_lo, 9), v.rule.length) for v in archive.front()]
+    return spark.createDataFrame(rows, "binder string, law string, lo double, length int")
 
 
 @query(f"""{_RATED} SELECT binder, law FROM rated WHERE lo >= {CFG.hold_rate_threshold} ORDER BY lo DESC, rate DESC, strength DESC, length, binder, law LIMIT 10""")
@@ -464,10 +509,23 @@ def topk_laws(spark, sf_dir):
     return _rated(spark, sf_dir).where(F.col("lo") >= CFG.hold_rate_threshold).orderBy(*order).limit(10).select("binder", "law")
 
 
+PREFIX = 300
+
+
+@query(f"{rated_sql(ALL_RULES[:PREFIX])} SELECT binder, law, n, k FROM rated")
+def max_rules_prefix(spark, sf_dir):
+    """TOPK1: a run that evaluates so many rules at most takes the first in the order of enumeration."""
+    with temporary():
+        data = region_data(spark, sf_dir)
+        grammar = grammar_of(compile_spec(flows.flow_spec(REGIONS)), Search().max_complexity, Search().max_add_arity)
+        return _hold_rows(spark, run(data, grammar, CFG, Search(max_rules=PREFIX), evaluate_all=True).verdicts)
+
+
 @query()
 def rule_dedup(spark, sf_dir):
     """ARC1-5, ARC9, LOG5-6: what is left of all accepted laws once equivalent and implied ones are gone."""
-    archive = Portfolio().extend(Judge(region_data(spark, sf_dir), CFG).judge(ALL_RULES))
+    with temporary():
+        archive = Portfolio().extend(Judge(region_data(spark, sf_dir), CFG).judge(ALL_RULES))
     return verdict_frame(spark, archive.ranked(independent=True))
 
 
@@ -518,13 +576,48 @@ def band_split(spark, sf_dir):
 # Recovery and synthetic data -----------------------------------------------------------------------------------------------------
 
 
+def _planted_flows() -> dict[str, list[frozenset]]:
+    """The column sets that trade ties together: ends of links, and sums of flows with their counters."""
+    n = flows.Flow(REGIONS)
+    return {
+        "two_end": [frozenset((n.to(s, d), n.from_(d, s))) for s, d in n.pairs() if s != d],
+        "row_sum": [frozenset((n.source(s), *(n.flow(s, d) for d in REGIONS if d != s))) for s in REGIONS],
+        "col_sum": [frozenset((n.destination(d), *(n.flow(s, d) for s in REGIONS if s != d))) for d in REGIONS],
+        "self_zero": [frozenset((n.flow(x, x),)) for x in REGIONS],
+        "offset_pair": [frozenset((n.flow(s, d), n.to(s, d))) for s, d in n.pairs() if s != d],
+    }
+
+
+#: Which law shows each family on the regions' snapshots.
+_SHOWN = {
+    "two_end": Rule("link", Col("o0_rev"), "~=", Col("o1")), "row_sum": ROW_LAW, "col_sum": Rule("node", Fold("SUM", "demand_col"), "~=", Col("measurement_destination")),
+    "self_zero": Rule("node", Col("demand_self"), "~=", ZERO), "offset_pair": Rule("link", Col("demand"), "==", Col("o1")), "nonneg": Rule("link", Col("o0"), ">=", ZERO),
+}
+_PLANTED = ", ".join(f"('{f}', {len(sets)}, '{_SHOWN[f].law}')" for f, sets in _planted_flows().items())
+
+
+@query(f"""{rated_sql(list(_SHOWN.values()))}, ok AS (SELECT law, lo >= {CFG.hold_rate_threshold} AS ok FROM rated), fam(family, planted, law) AS (VALUES {_PLANTED}),
+nonneg AS (SELECT bool_or(ok) AS nonneg FROM ok WHERE law = '{_SHOWN["nonneg"].law}')
+SELECT family, CAST(planted AS INTEGER) AS planted, CASE WHEN ok THEN 1.0 ELSE 0.0 END AS share, nonneg, nonneg OR max(CASE WHEN ok THEN 1.0 ELSE 0.0 END) OVER () >= 0.8 AS recovered
+FROM fam JOIN ok USING (law), nonneg""")
+def recovery_score(spark, sf_dir):
+    """VAL1-3, JN7: the relations that accepted laws name, and how much of what is planted they recover."""
+    with temporary():
+        data = region_data(spark, sf_dir)
+        found = Judge(data, CFG).judge(_SHOWN.values())
+    result = Discovery([v for v in found if v.accepted], Portfolio(), data, None, found)
+    want = _planted_flows()
+    got = score(result, want)
+    return spark.createDataFrame([(f, len(x), getattr(got, f), got.nonneg, got.recovered) for f, x in want.items()], "family string, planted int, share double, nonneg boolean, recovered boolean")
+
+
 @query(f"""
 WITH {FLOWS}, planted AS (SELECT a.r_name AS s, b.r_name AS d FROM region a CROSS JOIN region b WHERE a.r_name <> b.r_name),
 found AS (SELECT s, d FROM f GROUP BY ALL HAVING avg(g / v) > 1.04)
 SELECT (SELECT count(*) FROM (SELECT * FROM planted INTERSECT SELECT * FROM found)) AS hit, (SELECT count(*) FROM (SELECT * FROM planted EXCEPT SELECT * FROM found)) AS missed,
   (SELECT count(*) FROM (SELECT * FROM found EXCEPT SELECT * FROM planted)) AS extra, (SELECT count(*) FROM (SELECT * FROM planted UNION SELECT * FROM found)) AS known""")
 def recovery_sets(spark, sf_dir):
-    """VAL2-3, JN7: set operations between planted and found relations."""
+    """Set operations between planted and found links."""
     names = flows.places(spark, sf_dir, "region")
     want = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "s string, d string")
     found = flows.flow_cells(spark, sf_dir).groupBy("s", "d").agg(F.avg(F.col("g") / F.col("v")).alias("r")).where("r > 1.04").select("s", "d")
@@ -733,10 +826,39 @@ def profile_asymmetry(spark, sf_dir):
     return profile.asymmetry(_cells(spark, sf_dir), "to").select("n", F.round("mean", 8).alias("mean"))
 
 
-@query()
+@query(f"""WITH {PROFILE}, w AS (SELECT *, coalesce(clean, observed) AS v FROM cells),
+low AS (SELECT * FROM w WHERE layer = 'low'), high AS (SELECT * FROM w WHERE layer = 'high'),
+own AS (
+  SELECT t, source AS node, sum(v) FILTER (direction = 'source') AS o, sum(v) FILTER (direction = 'destination') AS e, coalesce(sum(v) FILTER (direction = 'to'), 0) AS x,
+    coalesce(sum(v) FILTER (direction = 'from'), 0) AS i FROM low GROUP BY ALL),
+rw AS (SELECT t, source AS node, coalesce(sum(observed), 0) AS row FROM high GROUP BY ALL), cl AS (SELECT t, destination AS node, coalesce(sum(observed), 0) AS col FROM high GROUP BY ALL),
+sm AS (SELECT * FROM own LEFT JOIN rw USING (t, node) LEFT JOIN cl USING (t, node)),
+rs AS (SELECT *, abs(o + i - (e + x)) / nullif((abs(o + i) + abs(e + x)) * 0.5, 0) AS r4 FROM sm),
+nz AS (SELECT observed, clean, (observed - clean) / nullif(clean, 0) AS rel FROM low WHERE observed IS NOT NULL AND clean IS NOT NULL),
+bd AS (
+  SELECT round(avg(CASE WHEN observed <> clean THEN 1 ELSE 0 END) * 100, 2) AS diff, avg(rel) AS m, stddev_pop(rel) AS s, quantile_cont(abs(rel), 0.99) AS p FROM nz),
+tt AS (SELECT t, sum(o) AS o, sum(e) AS e, sum(row) AS row, sum(col) AS col FROM sm GROUP BY t),
+lk AS (
+  SELECT max(abs(a.v - b.v)) AS c, avg(abs(a.observed - b.observed)) AS n FROM low a JOIN low b
+  ON a.direction = 'to' AND b.direction = 'from' AND a.t = b.t AND a.source = b.peer AND a.peer = b.source),
+mn AS (SELECT source, peer, avg(v) AS m FROM low WHERE direction = 'to' GROUP BY ALL),
+ay AS (SELECT avg(abs(a.m - b.m) / ((a.m + b.m) * 0.5)) AS m FROM mn a JOIN mn b ON a.source = b.peer AND a.peer = b.source WHERE a.m + b.m <> 0),
+found AS (
+  SELECT 'I1' AS invariant, 'negative cells' AS figure, CAST((SELECT count(*) FROM low WHERE v < 0) + (SELECT count(*) FROM w WHERE observed < 0) AS DOUBLE) AS value
+  UNION ALL SELECT 'I2', 'max self-demand', max(abs(observed)) FROM high WHERE source = destination
+  UNION ALL SELECT 'I3', unnest(['clean max', 'noisy mean']), unnest([c, n]) FROM lk
+  UNION ALL SELECT 'I4', unnest(['share in band', 'mean residual', 'max residual']), unnest([avg(CASE WHEN r4 IS NULL THEN NULL WHEN r4 < greatest(5 * p, 1e-6) THEN 1.0 ELSE 0.0 END), avg(r4), max(r4)]) FROM rs, bd
+  UNION ALL SELECT 'I5', unnest(['mean ratio', 'std ratio']), unnest([avg(o / nullif(row, 0)), stddev_pop(o / nullif(row, 0))]) FROM sm
+  UNION ALL SELECT 'I6', unnest(['mean ratio', 'std ratio']), unnest([avg(e / nullif(col, 0)), stddev_pop(e / nullif(col, 0))]) FROM sm
+  UNION ALL SELECT 'I7', unnest(['origination to termination', 'origination to demand', 'row less column total', 'empty snapshots']),
+    unnest([avg(o / nullif(e, 0)), avg(o / nullif(row, 0)), max(abs(row - col)), CAST(count(*) FILTER (o = 0 AND e = 0) AS DOUBLE)]) FROM tt
+  UNION ALL SELECT 'I8', 'mean asymmetry', m FROM ay
+  UNION ALL SELECT 'I9', 'untestable', NULL
+  UNION ALL SELECT 'I10', unnest(['differing percent', 'mean noise', 'std noise', 'p99 noise']), unnest([diff, m, s, p]) FROM bd)
+SELECT invariant, 'regions' AS dataset, figure, round(value, 5) AS value FROM found""")
 def profile_invariants(spark, sf_dir):
     """NB18-27: the table of fixed invariants."""
-    return profile.invariants(_cells(spark, sf_dir), "regions", DIRECTIONS)
+    return profile.invariants(_cells(spark, sf_dir), "regions", DIRECTIONS).withColumn("value", F.round("value", 5))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -628,3 +628,65 @@ def test_subsampling_takes_each_rules_finite_points(spark):
     law = Rule("node", Fold("SUM", "demand_row"), "~=", Col("measurement_source"))
     rates = [Judge(table, Evaluation(subsample=25, seed=s, tolerance=0.01)).judge([law])[0].hold_rate for s in (1, 1, 2, 3, 4, 5)]
     assert rates[0] == rates[1] and len(set(rates)) > 1
+
+
+# The harness's report -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture()
+def small_harness(spark, monkeypatch):
+    """Tuning and recovery over two families and two points of the grid."""
+    from lawspark import recover
+
+    monkeypatch.setattr(recover, "GRID", ((0.5, 0.62), (0.01,)))
+    monkeypatch.setattr(recover, "FAMILIES", ("offset_pair", "row_sum"))
+    monkeypatch.setattr(recover.Harness.plant_and_recover, "__defaults__", ((0.0,), 3, 80, 0, ("offset_pair", "row_sum")))
+    small = lambda f: lambda n=4, t=160, *a, **k: f(min(n, 3), min(t, 80), *a, **k)
+    monkeypatch.setattr(recover, "make_synthetic", small(recover.make_synthetic))
+    monkeypatch.setattr(recover, "make_null", small(recover.make_null))
+    return recover.Harness(spark, spec=SPEC)
+
+
+def test_run_all(small_harness):
+    report = small_harness.run_all()
+    assert report["proxy_ok"] and report["synthetic_recovery"]["families"] == {"offset_pair": True, "row_sum": True}
+    best = report["tuned_threshold_tolerance"]
+    assert best["ok"] and best["tolerance"] == 0.01 and best["threshold"] in (0.5, 0.62) and best["offset_recovery"] >= 0.8 and 0 < best["accepted"] < 120
+    assert report["runtime_recovery"] == {"offset_pair": True, "row_sum": True} and report["null_equalities_accepted"] == 0
+    quality = report["portfolio_quality"]
+    assert quality["ok"] and quality["accepted"] == len(quality["rules"]) and quality["bad_hold_rate_rules"] == [] and quality["scaled_slack_rules"] == []
+    assert quality["compactness_ratio"] == quality["independent_survivors"] / quality["archive_representatives"]
+    assert "aggregate sum conservation" in quality["families"] and set(quality["families"]) <= set(recovery_labels())
+
+
+def recovery_labels():
+    from lawspark.recover import LAW_FAMILIES
+
+    return LAW_FAMILIES
+
+
+def test_frozen_evaluation(spark, small_harness, monkeypatch):
+    from lawspark.config import Evaluation, Search
+    from lawspark.recover import Harness
+
+    asked = []
+    monkeypatch.setattr(Harness, "proxy_tune", lambda self, seed: asked.append(seed) or {"discovery": Evaluation(tolerance=0.08), "search": Search(max_complexity=6)})
+    frames = {f"s{k}": synthetic_frame(spark, 3, 60, seed=k) for k in (1, 2)}
+    out = small_harness.frozen_evaluation(frames, seed=5)
+    assert asked == [5] and set(out) == set(frames) and all(o["accepted"] == len(o["rules"]) > 0 and set(o["families"]) <= set(recovery_labels()) for o in out.values())
+
+
+def test_small_functions(spark):
+    from pyspark.sql import functions as F
+
+    from lawspark.functions.terms import sum_of_present, term, term_text
+    from lawspark.operators import profile
+
+    df = spark.createDataFrame([(1.0, 2.0, 100.0), (0.5, None, 0.0)], "a double, b double, observed double")
+    assert [r[0] for r in df.select(sum_of_present(["a", "b", "c"], df.columns)).collect()] == [3.0, None]
+    assert [r[0] for r in df.select(sum_of_present(["x"], df.columns)).collect()] == [0.0, 0.0]
+    cell = spark.createDataFrame([("low", 100.0), ("low", 0.0), ("low", None), ("high", 10.0)], "layer string, observed double")
+    assert [r.v for r in profile.log_values(cell, "low").collect()] == [pytest.approx(2.0)]
+    t = Sum((Times(-0.5, Col("a")), Fold("SUM", "b"), Num(3.25)))
+    both = df.select(term(t, lambda x: F.col(x.role if isinstance(x, Col) else x.family)).alias("x"), F.expr(term_text(t, lambda x: x.role if isinstance(x, Col) else x.family)).alias("y")).collect()
+    assert [(r.x, r.y) for r in both] == [(4.75, 4.75), (None, None)]

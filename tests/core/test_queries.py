@@ -19,7 +19,7 @@ from lawspark.streaming.running import running_holds
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Heavy ones, which the driver holds against DuckDB anyway.
-SLOW = {"verdicts_all_rules", "portfolio_rank", "pareto_front", "topk_laws"}
+SLOW = {"portfolio_rank", "topk_laws"}
 
 
 @pytest.fixture(scope="module")

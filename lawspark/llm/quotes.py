@@ -33,12 +33,12 @@ ATTRIBUTION = "[ \\t]*(on[^a-z0-9_].{1,200}[^a-z0-9_]wrote|.{0,100}[^a-z0-9_](wr
 
 _marks, _attribution = re.compile(MARKS), re.compile(ATTRIBUTION)
 _lower = str.maketrans(common.UPPER, common.LOWER)
-_space = re.compile("[\\x20\\x09-\\x0D]+")
+_SPACE = " \t\n\x0b\x0c\r"
 
 
-def normal(text: str) -> str:
-    """A-Z lower-cased, white space (space and the characters 9 to 13) as single spaces."""
-    return _space.sub(" ", text.translate(_lower)).strip(" ")
+def normal(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased, white space (space and the characters 9 to 13) as single spaces."""
+    return b" ".join(text.encode().lower().split())  # on bytes: A-Z alone, and just that white space
 
 
 def passages(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -46,17 +46,17 @@ def passages(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     that only attribute the quote below them are no text of the message."""
     lines = []
     for line in text.split("\n"):
-        m = _marks.match(line)
+        m = _marks.match(line) if ">" in line else None
         lines.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
     own, out, last = [], [], None
     for k, (level, content) in enumerate(lines):
         if level == 0:
-            after = next((x for x, c in lines[k + 1 : k + 3] if x or normal(c)), 0)
+            after = next((x for x, c in lines[k + 1 : k + 3] if x or c.strip(_SPACE)), 0)
             if after and _attribution.fullmatch(content.translate(_lower)):
                 last = None
                 continue
             own.append(content)
-        if not normal(content):
+        if not content.strip(_SPACE):
             last = None
         elif level == last:
             out[-1][1].append(content)
@@ -71,22 +71,23 @@ def parsed(batches):
     those of all lines, the longest first)."""
     import xxhash
 
-    def h(text: str) -> int:
-        x = xxhash.xxh64_intdigest(text.encode())
-        return x - (1 << 64) if x >> 63 else x
+    def h(x: bytes) -> int:
+        n = xxhash.xxh64_intdigest(x)
+        return n - (1 << 64) if n >> 63 else n
 
     one = pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("choice", pa.int32()), ("hash", pa.int64())])
     for batch in batches:
         bodies, said, quoted = [], [], []
         for t in batch.column(1):
             body, found = passages(t.as_py() or "")
-            own = [ls for level, ls in found if level == 0]
-            texts = {normal(" ".join(ls)) for ls in own} | {normal(x) for ls in own for x in ls} | {normal(" ".join(x for ls in own for x in ls))}
+            found = [(level, [*map(normal, ls)]) for level, ls in found]
+            own = [ls for level, ls in found if not level]
+            texts = {b" ".join(ls) for ls in own} | {x for ls in own for x in ls} | {b" ".join(x for ls in own for x in ls)}
             bodies.append(body if t.is_valid else None)
             said.append(sorted(h(x) for x in texts if x))
             q = []
             for k, (level, ls) in enumerate(p for p in found if p[0]):
-                keys = [normal(" ".join(ls)), *sorted(map(normal, ls), key=len, reverse=True)]
+                keys = [b" ".join(ls), *sorted(ls, key=len, reverse=True)]
                 q += [{"passage": k, "level": level, "choice": c, "hash": h(x)} for c, x in enumerate(dict.fromkeys(keys)) if x]
             quoted.append(q)
         cols = [pa.array(bodies, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, pa.list_(one))]
@@ -224,7 +225,7 @@ said AS (
 first AS (SELECT conv_id, w, min(turn) AS origin FROM said JOIN msg USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 look AS (
   SELECT rid, p, level, w, 0 AS c, 0 AS i FROM whole WHERE level > 0
-  UNION ALL SELECT rid, p, k, norm, -length(norm), i FROM ps WHERE k > 0 AND NOT (norm = (SELECT w FROM whole x WHERE x.rid = ps.rid AND x.p = ps.p))),
+  UNION ALL SELECT rid, p, k, norm, -strlen(norm), i FROM ps WHERE k > 0 AND NOT (norm = (SELECT w FROM whole x WHERE x.rid = ps.rid AND x.p = ps.p))),
 rk AS (SELECT *, row_number() OVER (PARTITION BY rid, p ORDER BY CASE WHEN i = 0 THEN 0 ELSE 1 END, c, i) AS choice FROM look),
 per AS (
   SELECT rid, p, rk.level, arg_min(origin, choice) FILTER (origin < turn) AS origin

@@ -66,9 +66,9 @@ def passages(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     return "\n".join(own).strip("\n") if any(x for x, _ in lines) else text, out
 
 
-def parsed(batches):
-    """Arrow batches of (rid, text) to (rid, body, said: hashes, quoted: passages with level and hashes to look up: the whole's, then
-    those of all lines, the longest first)."""
+def parsed(batches, text: int, names: list[str]):
+    """Arrow batches with the text at a place, plus body (null where it is the text), said: hashes, and quoted: passages with level and
+    hashes to look up: the whole's, then those of all lines, the longest first; under these names."""
     import xxhash
 
     def h(x: bytes) -> int:
@@ -78,12 +78,12 @@ def parsed(batches):
     one = pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("choice", pa.int32()), ("hash", pa.int64())])
     for batch in batches:
         bodies, said, quoted = [], [], []
-        for t in batch.column(1):
-            body, found = passages(t.as_py() or "")
+        for t in batch.column(text):
+            body, found = passages(given := t.as_py() or "")
             found = [(level, [*map(normal, ls)]) for level, ls in found]
             own = [ls for level, ls in found if not level]
             texts = {b" ".join(ls) for ls in own} | {x for ls in own for x in ls} | {b" ".join(x for ls in own for x in ls)}
-            bodies.append(body if t.is_valid else None)
+            bodies.append(None if body == given else body)
             said.append(sorted(h(x) for x in texts if x))
             q = []
             for k, (level, ls) in enumerate(p for p in found if p[0]):
@@ -91,12 +91,12 @@ def parsed(batches):
                 q += [{"passage": k, "level": level, "choice": c, "hash": h(x)} for c, x in enumerate(dict.fromkeys(keys)) if x]
             quoted.append(q)
         cols = [pa.array(bodies, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, pa.list_(one))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rid", "body", "said", "quoted"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
 
 def blocked(rows: DataFrame, value: str, keys: list[str], at: str, how, frame: tuple) -> DataFrame:
-    """rows plus `found`: how(value) over the rows of the keys in the order of `at`, within the frame's end (before or after the row's
-    block); by blocks of TURNS of `at`, so that no task takes all rows of the keys."""
+    """rows plus `block`, TURNS of `at`, and `carry`: how(value) over the blocks of the row's keys in the frame, before or after its own. So
+    a running value needs a window over a block's rows and this, and no task takes all rows of the keys."""
     rows = rows.withColumn("block", F.floor(F.col(at) / TURNS))
     sums = rows.groupBy(*keys, "block").agg(how(value).alias("m"))
     sums = sums.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("block").alias("block_"), how("m").over(W.partitionBy(*keys).orderBy("block").rowsBetween(*frame)).alias("carry"))
@@ -148,16 +148,15 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     """
     new = ["body", "n_quotes", "n_linked", "reply_to", "branch", "top", "depth", "place"]
     names = [c for c in messages.columns if c not in new]
-    (rid,) = common.fresh(names, "_rid")
+    rid, body, said, quoted = own = common.fresh(names, "_rid", "_body", "_said", "_quoted")
     with common.temporary():
-        rows = common.kept(common.saved(messages.select(*(f"`{c}`" for c in names)).withColumn(rid, F.monotonically_increasing_id()), "messages"))
-        read = rows.select(F.col(rid).alias("rid"), F.col(text)).mapInArrow(
-            common.on_workers(__name__, "parsed"),
-            "rid long, body string, said array<long>, quoted array<struct<passage: int, level: int, choice: int, hash: long>>",
-        )
-        read = common.kept(common.saved(read, "parsed"))
-        at = rows.select(F.col(rid).alias("rid"), F.col(conv).alias("conv"), F.col(turn).cast("long").alias("t")).where("conv is not null and t is not null")
-        msgs = common.saved(at.join(read.select("rid", "said", "quoted"), "rid"), "said")
+        rows = messages.select(*(f"`{c}`" for c in names)).withColumn(rid, F.monotonically_increasing_id())
+        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+        kinds += [f"`{body}` string", f"`{said}` array<long>", f"`{quoted}` array<struct<passage: int, level: int, choice: int, hash: long>>"]
+        rows = rows.mapInArrow(common.on_workers(__name__, "parsed", text=names.index(text), names=own[1:]), ", ".join(kinds))
+        rows = common.kept(common.saved(rows, "messages"))  # written at once: the numbers stay
+        at = rows.select(F.col(rid).alias("rid"), F.col(conv).alias("conv"), F.col(turn).cast("long").alias("t"), F.col(said).alias("said"), F.col(quoted).alias("quoted"))
+        msgs = at.where("conv is not null and t is not null")
         first = msgs.select("conv", "t", F.explode("said").alias("hash")).groupBy("conv", "hash").agg(F.min("t").alias("origin"))
         quotes = msgs.select("rid", "conv", "t", F.explode("quoted").alias("q")).select("rid", "conv", "t", "q.*")
         hits = quotes.join(first, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("t"), F.col("origin")))
@@ -185,7 +184,7 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     info = replies.join(found, ["conv", "t"]).select(F.col("rid").alias(rid), *new[1:])
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_quotes", "n_linked")}
     return (
-        rows.join(read.select(F.col("rid").alias(rid), "body"), rid).join(info, rid, "left").withColumns(zero)
+        rows.drop(said, quoted).join(info, rid, "left").withColumns({"body": F.coalesce(body, text)} | zero)
         .select(*(f"`{c}`" for c in names), *new)
     )
 

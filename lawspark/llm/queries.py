@@ -18,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op7_url_templates": urls.OP7_SQL,
     "op8_quotations": quotes.OP8_SQL,
+    "op9_near_vectors": vectors.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
 }

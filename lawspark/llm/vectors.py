@@ -295,3 +295,14 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings."""
     return near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs: for small tables, which the index must agree with.
+OP9_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT i, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.i AS a, b.i AS b FROM good a JOIN good b ON a.i <> b.i AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.n * b.n) ELSE 0 END >= {COSINE}),
+reach AS (SELECT i, i AS j FROM v UNION SELECT reach.i, link.b FROM reach JOIN link ON link.a = reach.j),
+c AS (SELECT reach.i, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.i = reach.j GROUP BY reach.i),
+n AS (SELECT a AS i, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)"""

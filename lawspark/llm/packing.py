@@ -8,13 +8,14 @@ their length in the order of their rank.
 
 Scale: the driver sees only the histogram (at most CAPACITY rows) and its plan is broadcast with a bound that depends on
 CAPACITY alone. Ranks within a length are prefix sums over hash buckets, so a length that a third of all pieces share is
-ranked by many tasks; pieces that are equal throughout are one with a count there. A piece finds its place by a hash join on its
+ranked by many tasks: n pieces in about sqrt(n) buckets of sqrt(n); pieces that are equal throughout are one with a count there. A piece finds its place by a hash join on its
 length and the cell of its rank, of which each holds a few of the plan's rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 
@@ -30,8 +31,8 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces of a hash bucket, and cells of the ranks of a length.
-BUCKET_PIECES, CELLS = 1 << 16, 64
+#: Cells of the ranks of a length.
+CELLS = 64
 #: Texts longer than this are tokenised in parts, cut where two letters have a space between them.
 PART = 1 << 18
 
@@ -178,7 +179,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     step = {n: -(-histogram[n] // min(CELLS, len(rows))) for n, rows in by.items()}
     slots = [(n, c, *r) for n, rows in by.items() for r in rows for c in range(r[0] // step[n], (r[1] - 1) // step[n] + 1)]
     slots = spark.createDataFrame(slots, "_length long, _cell long, _from long, _to long, _each long, _first long, _at long")  # plan's rows + capacity * CELLS at most
-    sizes = spark.createDataFrame([(n, -(-histogram[n] // BUCKET_PIECES), step[n]) for n in by], "length long, _buckets long, _step long")
+    sizes = spark.createDataFrame([(n, math.isqrt(histogram[n]), step[n]) for n in by], "length long, _buckets long, _step long")
     pieces = pieces.groupBy("length", *order).agg(F.count(F.lit(1)).alias("_copies")).join(F.broadcast(sizes), "length")
     pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), "_buckets"))
     counts = common.saved(pieces.groupBy("length", "_bucket").agg(F.sum("_copies").alias("n")), "lengths")

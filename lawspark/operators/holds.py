@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,9 @@ STATISTIC = "hold_rate"
 #: Hashes of points: whole numbers that a double holds.
 SEED, HASHES = 7919, 1 << 52
 
+#: Bytes of code above which the JVM doesn't compile a method, and Spark's setting for it.
+COMPILED_BYTES, METHOD_LIMIT = 8000, "spark.sql.codegen.hugeMethodLimit"
+
 #: Bindings whose leaves read more columns than this take the long route.
 WIDE_LIMIT = 20_000
 
@@ -154,6 +158,18 @@ def pair_statistics(points: DataFrame, pairs: Sequence[Pair], names: dict[Term,
     return {row["pair"]: row.asDict() for row in found.collect()}  # a row for each pair
 
 
+@contextmanager
+def compiled(spark: SparkSession):
+    """Lets Spark split the code of wide expressions over methods small enough for the JVM's compiler, which leaves larger ones to its
+    interpreter. The session's limit is put back at the end."""
+    before = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, min(int(before), COMPILED_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
+
+
 @dataclass
 class Judge:
     """Judges rules on a dataset. median_for: `accepted` finds the description length of accepted laws alone, `all` of all."""
@@ -178,7 +194,7 @@ class Judge:
                 out[k] = Verdict(rule, False, TRIVIAL)
             else:
                 open_.setdefault(rule.binder, []).append(k)
-        with ThreadPoolExecutor(max(1, len(open_))) as pool:  # binders don't wait for each other's jobs
+        with compiled(self.data.frame.sparkSession), ThreadPoolExecutor(max(1, len(open_))) as pool:  # binders don't wait for each other's jobs
             judged = pool.map(lambda binder: self._binder(binder, [rules[k] for k in open_[binder]]), open_)
             for numbers, verdicts in zip(open_.values(), judged):
                 for k, v in zip(numbers, verdicts):

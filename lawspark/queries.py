@@ -648,6 +648,15 @@ def discover_synth(spark, sf_dir):
     return spark.createDataFrame(rows, "family string, planted int, found int")
 
 
+@query()
+def discover_wide(spark, sf_dir):
+    """The whole discovery on 1,000 synthetic snapshots of 675 columns."""
+    with temporary():
+        df = saved(synthetic_frame(spark, 15, 1000, seed=1), "snapshots")
+        result = discover_dataframe(df, spec=_answer(15), name="wide", timestamp=df.columns[0])
+        return verdict_frame(spark, result.portfolio)
+
+
 @query()
 def null_control(spark, sf_dir):
     """SRC6, VAL5: equalities accepted on data without laws; there are none."""

@@ -690,3 +690,10 @@ def test_small_functions(spark):
     t = Sum((Times(-0.5, Col("a")), Fold("SUM", "b"), Num(3.25)))
     both = df.select(term(t, lambda x: F.col(x.role if isinstance(x, Col) else x.family)).alias("x"), F.expr(term_text(t, lambda x: x.role if isinstance(x, Col) else x.family)).alias("y")).collect()
     assert [(r.x, r.y) for r in both] == [(4.75, 4.75), (None, None)]
+
+
+def test_judging_leaves_settings(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    data, _ = odd_data(spark)
+    Judge(data).judge(sample_rules()[:5])
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before

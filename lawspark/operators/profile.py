@@ -74,18 +74,31 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(rows).groupBy("column").agg(F.count_distinct("v").alias("n_unique"))
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970, whole. Times without a zone count as they stand, whatever the session's zone."""
+    t = F.col(column)
+    if isinstance(df.select(t).schema[0].dataType, T.TimestampNTZType):
+        since = (t - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+        return (since.cast("decimal(19,6)") * 1000000).cast("long")
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def cadence(times: DataFrame, column: str, within: list[str] | None = None) -> DataFrame:
-    """(first, last, span_s, mode_gap_s, n_gaps) of the gaps between neighbouring times, for each group of `within`. Without
-    groups all times are sorted by one task: for tables with a row a snapshot, not a row an event. Of equally frequent gaps the
-    least is the mode."""
+    """(first, last, span_s, mode_gap_s, n_gaps) of the gaps between neighbouring times, for each group of `within`, null ones too.
+    Gaps are counted as whole microseconds: as seconds, equal ones would differ in their last bits. A group's times are sorted by
+    one task, without groups all of them: for tables with a row a snapshot, not a row an event. Of equally frequent gaps the least
+    is the mode; a single time has none, and n_gaps is 0."""
     keys = within or []
-    t = F.unix_micros(F.col(column).cast("timestamp")) / 1e6
-    order = W.partitionBy(*keys).orderBy(column)
-    gaps = times.where(F.col(column).isNotNull()).withColumn("_gap", t - F.lag(t).over(order))
-    ends = gaps.groupBy(*keys).agg(F.min(column).alias("first"), F.max(column).alias("last"), (F.max(t) - F.min(t)).alias("span_s"))
-    counted = gaps.where("_gap is not null").groupBy(*keys, "_gap").agg(F.count(F.lit(1)).alias("_n"))
-    modes = counted.groupBy(*keys).agg(F.max_by("_gap", F.struct("_n", -F.col("_gap"))).alias("mode_gap_s"), F.count(F.lit(1)).alias("n_gaps"))
-    return ends.join(modes, keys, "left") if keys else ends.join(modes)
+    order = W.partitionBy(*keys).orderBy("_us")
+    gaps = times.withColumn("_us", micros(times, column)).where("_us is not null").withColumn("_gap", F.col("_us") - F.lag("_us").over(order))
+    counted = gaps.groupBy(*keys, "_gap").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(column).alias("_first"), F.max(column).alias("_last"), F.min("_us").alias("_from"), F.max("_us").alias("_to")
+    )
+    rank = F.when(F.col("_gap").isNotNull(), F.struct("_n", -F.col("_gap")))
+    return counted.groupBy(*keys).agg(
+        F.min("_first").alias("first"), F.max("_last").alias("last"), ((F.max("_to") - F.min("_from")) / 1e6).alias("span_s"),
+        (F.max_by("_gap", rank) / 1e6).alias("mode_gap_s"), F.count("_gap").alias("n_gaps"),
+    )
 
 
 def missing(cell: DataFrame) -> DataFrame:
